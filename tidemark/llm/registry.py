@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, quality_rules, sentencepiece_codec, token_counts
-from .common import documents
+from . import language_id, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, token_counts, toxicity
+from .common import documents, fold_of
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _held_out(n: int, rest: int):
+    return F.coalesce(fold_of(F.col("doc_id"), n) == rest, F.lit(False)).alias("held_out")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    models = language_id.learn(language_id.training_rows(docs))
+    return language_id.identify(docs, models).select("doc_id", _held_out(4, 2), "lang_pred", "score", "bits", "rejected")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.learn(quality_classifier.training_rows(docs), quality_classifier.training_rows(labels))
+    return quality_classifier.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(documents(spark, sf_dir))
 
@@ -51,6 +67,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, toxicity.training_labels(labels))
+    return toxicity.score(docs, model).select("doc_id", _held_out(4, 2), "score", "predicted")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -58,8 +80,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
+    "op4_language_id": op4_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_ngram_join": op7_ngram_join,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
