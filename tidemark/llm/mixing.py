@@ -68,51 +68,74 @@ def _boundary(parts: DataFrame, budget: Column, bucket: str) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """All of docs (doc_id, text, source) with size, source_size, target and taken.
-
-    size: words, 0 for a null text. taken: times * size, where times <= most; 0 for a document that the
-    mix leaves out. Reruns agree, as do equal rows: the decision depends on doc_id, source and the sums.
-    A null source is a source of its own, a null doc_id hashes as an empty text; an empty table gives an
-    empty table. Columns of docs beyond these three are not looked at.
-    """
-    sized = work_table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), point(F.col("doc_id")).alias("point")))
+def _keyed(rows: DataFrame) -> DataFrame:
     # a null source needs a key that no source can have: its text stands after a mark
-    sized = sized.withColumn("key", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))))
+    return rows.withColumn("key", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))))
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(key, source_size, target, full, limit) for each source of sized (key, source, size, point): all of a source is
+    taken `full` times, and once more what has its point below `limit`."""
     first = F.shiftright("point", 60 - BITS)
     second = F.shiftright("point", 60 - 2 * BITS).bitwiseAND(2**BITS - 1)
     third = F.shiftright("point", 60 - 3 * BITS).bitwiseAND(2**BITS - 1)
     # 2**16 sums a source at most, from partial sums: the only table that holds every source
     hist = work_table(sized.groupBy("key", "source", first.alias("b1")).agg(F.sum("size").alias("words")))
-    plan = targets(hist.groupBy("key", "source").agg(F.sum("words").alias("source_size")).drop("key"), weights, most)
-    plan = (
-        plan.withColumn("key", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))))
-        .withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    goals = _keyed(targets(hist.groupBy("key", "source").agg(F.sum("words").alias("source_size")).drop("key"), weights, most))
+    goals = (
+        goals.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
         .select("key", "source_size", "target", "full", "rest")
     )
-    one = _boundary(hist.join(plan, "key"), F.col("rest"), "b1")
-    plan = plan.join(one.withColumnRenamed("before", "before1"), "key", "left")
+    one = _boundary(hist.join(goals, "key"), F.col("rest"), "b1")
+    goals = work_table(goals.join(one.withColumnRenamed("before", "before1"), "key", "left"))
     # only the boundary bucket is looked at again
-    near = sized.join(plan, "key").filter(first == F.col("b1"))
+    near = sized.join(goals, "key").filter(first == F.col("b1"))
     two = _boundary(near.groupBy("key", second.alias("b2")).agg(F.sum("size").alias("words"), F.first(F.col("rest") - F.col("before1")).alias("left1")), F.col("left1"), "b2")
-    plan = plan.join(two.withColumnRenamed("before", "before2"), "key", "left")
-    near = sized.join(plan, "key").filter((first == F.col("b1")) & (second == F.col("b2")))
+    goals = goals.join(two.withColumnRenamed("before", "before2"), "key", "left")
+    near = sized.join(goals, "key").filter((first == F.col("b1")) & (second == F.col("b2")))
     last = near.groupBy("key", third.alias("b3")).agg(F.sum("size").alias("words"), F.first(F.col("rest") - F.col("before1") - F.col("before2")).alias("left2"))
     # of the last, finest bucket all is taken if that comes nearer to the budget
-    three = (
-        _boundary_rows(last)
-        .groupBy("key")
-        .agg(F.max(F.when(F.col("before") + F.col("words") / 2 <= F.col("left2"), F.col("b3"))).alias("b3"))
-    )
-    plan = plan.join(three.withColumn("b3", F.coalesce("b3", F.lit(-1))), "key", "left")
-    plan = plan.withColumn("limit", F.when(F.col("b1").isNull(), F.when(F.col("rest") > 0, F.lit(2**60)).otherwise(F.lit(0))).otherwise(
-        F.shiftleft(F.shiftleft(F.col("b1"), BITS) + F.coalesce("b2", F.lit(0)), 60 - 2 * BITS) + F.shiftleft(F.coalesce(F.col("b3"), F.lit(-1)) + 1, 60 - 3 * BITS)
-    )).select("key", "source_size", "target", "full", "limit")
-    times = F.least(F.col("full") + F.when(F.col("point") < F.col("limit"), 1).otherwise(0), F.lit(most))
-    return sized.join(work_table(plan), "key").select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("b3").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = last.withColumn("before", before).groupBy("key").agg(F.max(F.when(F.col("before") + F.col("words") / 2 <= F.col("left2"), F.col("b3"))).alias("b3"))
+    bucket = F.shiftleft(F.shiftleft(F.col("b1"), BITS) + F.coalesce("b2", F.lit(0)), 60 - 2 * BITS) + F.shiftleft(F.coalesce("b3", F.lit(-1)) + 1, 60 - 3 * BITS)
+    limit = F.when(F.col("b1").isNull(), F.when(F.col("rest") > 0, F.lit(2**60)).otherwise(F.lit(0))).otherwise(bucket)
+    return work_table(goals.join(last, "key", "left").select("key", "source_size", "target", "full", limit.alias("limit")))
+
+
+def _times(most: int) -> Column:
+    return F.least(F.col("full") + F.when(F.col("point") < F.col("limit"), 1).otherwise(0), F.lit(most))
+
 
+def _sized(docs: DataFrame) -> DataFrame:
+    return _keyed(work_table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), point(F.col("doc_id")).alias("point"))))
 
-def _boundary_rows(parts: DataFrame) -> DataFrame:
-    w = Window.partitionBy("key").orderBy("b3").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """All of docs (doc_id, text, source) with size, source_size, target, times and taken = times * size.
+
+    size: words, 0 for a null text. times: 0 (left out) to `most`. Reruns agree, as do equal rows: the decision
+    depends on doc_id, source and the sums; rows of one doc_id and source are taken together. A null source is a
+    source of its own, a null doc_id hashes as an empty text; an empty table gives an empty table. Further columns
+    of docs are not looked at.
+    """
+    sized = _sized(docs)
+    out = sized.join(plan(sized, weights, most), "key").withColumn("times", _times(most))
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of docs that the mix takes, each as many times as it takes it, with all columns of docs.
+
+    Texts don't move: each row meets its source's line of the plan.
+    """
+    goals = plan(_sized(docs), weights, most).select("key", "full", "limit")
+    few = goals.limit(100_001).count() <= 100_000
+    mark = "_m"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    goals = goals.toDF(mark + "key", mark + "full", mark + "limit")
+    key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+    times = F.least(F.col(mark + "full") + F.when(point(F.col("doc_id")) < F.col(mark + "limit"), 1).otherwise(0), F.lit(most))
+    met = docs.join(F.broadcast(goals) if few else goals, key == F.col(mark + "key"))
+    return met.withColumn(mark, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -171,7 +171,8 @@ def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     prefix = "_q"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    model = learn(add_stats(docs.select("text"), prefix), prefix)
-    judged = add_stats(docs, prefix)
-    kept = judged.filter(~base_failed(prefix) & (model.posterior(list(votes(prefix).values())) >= threshold))
+    model = learn(work_table(add_stats(docs.select("text"), prefix).drop("text")), prefix)
+    # the mark differs by row, so Spark doesn't move the filter below it, where the counts would be worked out for each use
+    judged = add_stats(docs, prefix).withColumn(prefix, F.monotonically_increasing_id())
+    kept = judged.filter((F.col(prefix) >= 0) & ~base_failed(prefix) & (model.posterior(list(votes(prefix).values())) >= threshold))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

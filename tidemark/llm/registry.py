@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, token_counts, toxicity
+from . import chat, language_id, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, token_counts, topk_search, toxicity
 from .common import documents, fold_of
 
 
@@ -42,6 +42,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
+s AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
+m AS (SELECT t.*, speaker, CASE WHEN who = 'system' THEN 'system' WHEN who = speaker THEN 'assistant' ELSE 'user' END AS role
+      FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+h AS (SELECT *, CASE WHEN role = 'user' THEN who END AS name,
+             '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || who ELSE '' END || chr(10) AS head FROM m),
+g AS (SELECT *, head || content || '<|im_end|>' || chr(10) AS segment FROM h),
+o AS (SELECT *, row_number() OVER w AS position, sum(length(segment)) OVER w AS stop FROM g
+      WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, who, content ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, speaker, position, role, name, segment, (stop - length(segment))::BIGINT AS start, stop::BIGINT AS stop,
+       CASE WHEN role = 'assistant' THEN (stop - length(segment) + length(head))::BIGINT END AS mask_start,
+       CASE WHEN role = 'assistant' THEN stop::BIGINT END AS mask_stop
+FROM o
+"""
+
+
 def _held_out(n: int, rest: int):
     return F.coalesce(fold_of(F.col("doc_id"), n) == rest, F.lit(False)).alias("held_out")
 
@@ -58,6 +79,21 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk_search.top_k(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
+OP6_SQL = r"""
+WITH c AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS bits FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, r.vec_id AS id,
+             list_sum(list_transform(range(1, len(q.bits) + 1), lambda i: abs(q.bits[i] - r.bits[i])))::INTEGER AS distance
+      FROM c q JOIN c r ON q.vec_id <> r.vec_id AND len(q.bits) = len(r.bits) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 10
+"""
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(documents(spark, sf_dir))
 
@@ -80,8 +116,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
+    "op3_chat_rotation": op3_chat_rotation,
     "op4_language_id": op4_language_id,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_topk_search": op6_topk_search,
     "op7_ngram_join": op7_ngram_join,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
@@ -90,4 +128,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
+    "op3_chat_rotation": OP3_SQL,
+    "op6_topk_search": OP6_SQL,
 }
