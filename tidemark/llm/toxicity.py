@@ -18,7 +18,7 @@ from .shingles import mix
 
 ORDERS = (3, 4, 5)
 #: Labelled texts of each class that are learned from, chosen by a hash of their ids; features; least texts with a feature.
-SAMPLE, FEATURES, LEAST = 4000, 1 << 14, 4
+SAMPLE, FEATURES, LEAST = 3000, 1 << 13, 4
 FILTER_BITS = 21
 
 
@@ -70,13 +70,13 @@ def logistic(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarra
     """Weights and bias of a ridge logistic regression on sparse rows, by Nesterov's accelerated descent."""
     n = len(y)
     norm = np.bincount(rows, value * value, n).max(initial=1.0) + 1
-    rate = 4.0 / norm
+    rate = 32.0 / norm
     w = v = np.zeros(n_cols + 1)
     for t in range(rounds):
         z = np.bincount(rows, v[cols] * value, n) + v[-1]
         e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
         grad = np.append(np.bincount(cols, e[rows] * value, n_cols) + ridge * v[:-1] / n_cols, e.sum())
-        new = v - rate * n / max(n, 1) * grad * 8
+        new = v - rate * grad
         v = new + t / (t + 3) * (new - w)
         w = new
     return w[:-1], float(w[-1])
@@ -148,8 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.mapInArrow(design, "features binary, y int").toPandas().sort_values(["y", "features"])
     own = [np.frombuffer(x, np.int32) for x in got.features]
     y = got.y.to_numpy(np.float64)
-    text, feature = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
-    w, bias = logistic(text, feature, r[feature], y, len(key))
+    text, feature = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]), np.concatenate(own)
+    w, bias = logistic(text, feature, r.astype(np.float32)[feature], y, len(key))
     # the sample has other shares of the classes than the labels have
     bias += np.log(sizes[1] / sizes[0]) - np.log(n1 / n0)
     return Model(key, w * r, bias)
