@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are presences of n-grams of 3, 4 and 5 letters in a whole text. Each is scaled by its log ratio of
+Features are presences of n-grams of 3, 5 and 7 letters in a whole text. Each is scaled by its log ratio of
 shares in toxic and other labelled texts, and logistic regression learns weights on the scaled features.
 """
 
@@ -16,7 +16,7 @@ from .common import fold_of, work_table
 from .letters import chunks, grams, sequences
 from .shingles import mix
 
-ORDERS = (3, 4, 5)
+ORDERS = (3, 5, 7)
 #: Labelled texts of each class that are learned from, chosen by a hash of their ids; features; least texts with a feature.
 SAMPLE, FEATURES, LEAST = 3000, 1 << 13, 4
 FILTER_BITS = 21
@@ -28,10 +28,11 @@ def _hashed(codes: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarr
         g, own = grams(codes, starts, order)
         return mix(g, order), own
     g, own = grams(codes, starts, 4)
-    # a window of five codes is that of its first four and of its last four, if both are of one text
-    count = np.maximum(np.diff(own) - 1, 0)
+    # a window of up to eight codes is that of its first four and of its last four
+    skip = order - 4
+    count = np.maximum(np.diff(own) - skip, 0)
     at = np.repeat(own[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    return mix(g[at] ^ mix(g[at + 1], 7), order), np.concatenate(([0], np.cumsum(count)))
+    return mix(g[at] ^ mix(g[at + skip], 7), order), np.concatenate(([0], np.cumsum(count)))
 
 
 @dataclass
@@ -66,19 +67,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarray, n_cols: int, ridge: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on sparse rows, by Nesterov's accelerated descent."""
+def logistic(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarray, n_cols: int, ridge: float = 1e-4, rounds: int = 250, rate: float = 0.02) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression on sparse rows, by Adam on all rows."""
     n = len(y)
-    norm = np.bincount(rows, value * value, n).max(initial=1.0) + 1
-    rate = 32.0 / norm
-    w = v = np.zeros(n_cols + 1)
-    for t in range(rounds):
-        z = np.bincount(rows, v[cols] * value, n) + v[-1]
+    w, m, v = (np.zeros(n_cols + 1) for _ in range(3))
+    for t in range(1, rounds + 1):
+        z = np.bincount(rows, w[cols] * value, n) + w[-1]
         e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        grad = np.append(np.bincount(cols, e[rows] * value, n_cols) + ridge * v[:-1] / n_cols, e.sum())
-        new = v - rate * grad
-        v = new + t / (t + 3) * (new - w)
-        w = new
+        grad = np.append(np.bincount(cols, e[rows] * value, n_cols) + ridge * w[:-1], e.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:-1], float(w[-1])
 
 
