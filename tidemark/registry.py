@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import log_plans, search_plans, series_plans, view_plans
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+PLANS = search_plans.PLANS | series_plans.PLANS | view_plans.PLANS | log_plans.PLANS
+flagship = view_plans.flagship
 
 
 def queries():
-    return {}
+    return {name: run for name, (run, _) in PLANS.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in PLANS.items() if sql}
