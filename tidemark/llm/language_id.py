@@ -20,7 +20,7 @@ from .letters import chunks, grams, per_text, sequences
 SAMPLE_CHARS = 600_000
 ORDER = 4
 #: Bits a character by which the entropy of a text may exceed what nearly all texts of its language have; more for a short one.
-SLACK, SHORT = 0.75, 6.0
+SLACK, SHORT = 1.5, 6.0
 
 
 @dataclass
