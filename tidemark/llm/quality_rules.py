@@ -141,10 +141,12 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
 
 def learn(stats: DataFrame, prefix: str = "") -> LabelModel:
     """From a table with the counts of add_stats: patterns of votes are counted over all rows."""
-    rules = votes(prefix)
-    counted = stats.groupBy(*[v.alias(f"_v{j}") for j, v in enumerate(rules.values())]).count()
-    rows = counted.collect()  # 3**8 rows at most
-    return fit(sorted((tuple(r[: len(rules)]), r[-1]) for r in map(tuple, rows)), len(rules))
+    return _fitted(stats, list(votes(prefix).values()))
+
+
+def _fitted(rows: DataFrame, vote_columns: list[Column]) -> LabelModel:
+    patterns = rows.groupBy(*[v.alias(f"_v{j}") for j, v in enumerate(vote_columns)]).count().collect()  # 3**8 rows at most
+    return fit(sorted((tuple(p[:-1]), p[-1]) for p in map(tuple, patterns)), len(vote_columns))
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -166,13 +168,14 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that judge() keeps, with all columns of docs and nothing else; names that clash with
-    the counts don't matter. Texts are counted over once for the votes and once to filter: writing them beside
-    their counts would cost more than the second count."""
-    prefix = "_q"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    model = learn(work_table(add_stats(docs.select("text"), prefix).drop("text")), prefix)
-    # the mark differs by row, so Spark doesn't move the filter below it, where the counts would be worked out for each use
-    judged = add_stats(docs, prefix).withColumn(prefix, F.monotonically_increasing_id())
-    kept = judged.filter((F.col(prefix) >= 0) & ~base_failed(prefix) & (model.posterior(list(votes(prefix).values())) >= threshold))
+    the counts don't matter. Texts are counted over once: the rows are written beside their votes, and the filter
+    reads those."""
+    mark = "_q"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    counted = add_stats(docs, mark)
+    rules = [v.cast("byte").alias(f"{mark}v{j}") for j, v in enumerate(votes(mark).values())]
+    voted = work_table(counted.select(*[F.col(f"`{c}`") for c in docs.columns], *rules, base_failed(mark).alias(mark + "failed")))
+    columns = [F.col(f"{mark}v{j}") for j in range(len(rules))]
+    kept = voted.filter(~F.col(mark + "failed") & (_fitted(voted, columns).posterior(columns) >= threshold))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
