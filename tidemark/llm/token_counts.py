@@ -22,29 +22,38 @@ TABLE, REPORT, MEMORY = 1 << 15, 1 << 13, 1 << 19
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _unassigned() -> re.Pattern:
-    """Characters that this Python's tables don't know; split rules of other versions may differ on them."""
-    parts, first = [], None
-    for c in range(sys.maxunicode + 2):
-        new = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if new and first is None:
-            first = c
-        elif not new and first is not None:
-            parts.append(f"\\U{first:08x}-\\U{c - 1:08x}")
-            first = None
-    return re.compile(f"[{''.join(parts)}]")
+class Unassigned:
+    """Whether a text has characters that this Python's tables don't know; split rules of other versions may differ on them."""
+
+    def __init__(self) -> None:
+        self.unknown = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        self.some = re.compile(f"[^\\x00-{chr(int(self.unknown.argmax()) - 1)}]")  # the first such character is far from Latin letters
+
+    def __call__(self, text: str) -> bool:
+        return self.some.search(text) is not None and bool(self.unknown[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level BPE writes bytes as: printable ones as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Lengths(dict):
-    """Pre-token -> tokens. What it lacks it encodes; beyond MEMORY it goes back to the broadcast table."""
+    """Pre-token -> tokens. What it lacks is looked for among words of before, and encoded if it isn't there. Once MEMORY
+    / 2 words have come in, they are the words of before; those in use come back, the others go."""
 
     def __init__(self, tokenizer, table: dict[str, int]) -> None:
         super().__init__(table)
-        self.tokenizer, self.table = tokenizer, table
+        self.tokenize, self.table, self.before, self.letters = tokenizer.model.tokenize, table, {}, _byte_letters()
 
     def __missing__(self, word: str) -> int:
-        n = len(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(self) - len(self.table) >= MEMORY:
+        n = self.before.get(word)
+        if n is None:
+            n = len(self.tokenize(word.encode().decode("latin-1").translate(self.letters)))
+        if len(self) - len(self.table) >= MEMORY // 2:
+            self.before = dict(self)
             self.clear()
             self.update(self.table)
         self[word] = n
@@ -69,10 +78,10 @@ class Counter2:
         self.by_parts = plain and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         # strings of added tokens count as one token each, the longest first
         self.added = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
-        self.split, self.odd = regex.compile(SPLIT), _unassigned()
+        self.split, self.odd = regex.compile(SPLIT), Unassigned()
 
     def count(self, text: str) -> int:
-        if not self.by_parts or (not text.isascii() and self.odd.search(text)):
+        if not self.by_parts or self.odd(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         get, found = self.lengths.__getitem__, self.split.findall
         if self.added is None or not self.added.search(text):
