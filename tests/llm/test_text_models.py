@@ -108,6 +108,23 @@ def test_language_of_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"} and language_id.identify(none, models).count() == 0
 
 
+def test_language_of_rare_languages(spark):
+    """Languages of one training row (the hash of an id holds out every fifth), without letters, and of few long texts take no other's texts."""
+    r, other = random.Random(8), "der die und in den von zu das mit sich des auf nicht als auch es an werden aus er hat dass sie nach wird bei einer um am sind".split()
+    rows = [(i, prose(r, 60), "en") for i in range(200)] + [(1000 + i, prose(r, 60, other), "de") for i in range(200)]
+    rows += [(2000 + i, "quelque chose d'autre que nous avons écrit ici, peut-être " * 2, f"r{i}") for i in range(10)]
+    rows += [(3000, "12 345", "digits"), (3001, "", "empty")] + [(4000 + i, prose(r, 4000, ["zwyx", "qvok", "jurr"]), "long") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.learn(docs, sample_chars=2000)
+    assert models.languages == ["de", "en", "long", *(f"r{i}" for i in range(10))] and np.isfinite(models.limit).all()
+    got = {x.doc_id: x for x in language_id.identify(docs, models).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if lang in ("en", "de", "long"))
+    assert all(got[2000 + i].lang_pred[0] == "r" and not got[2000 + i].rejected for i in range(10))
+    assert got[3000].rejected and got[3001].rejected
+    noise = spark.createDataFrame([(1, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)))], "doc_id long, text string")
+    assert language_id.identify(noise, models).first().rejected
+
+
 def test_quality_of_held_out_texts(spark):
     sf = "/root/testdata/sf0.01"
     got = registry.QUERIES["op5_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()

@@ -19,6 +19,8 @@ from .letters import chunks, grams, per_text, sequences
 #: Characters that each language is learned from, in whole texts chosen by a hash of their ids.
 SAMPLE_CHARS = 600_000
 ORDER = 4
+#: A text has letters, or characters that this Java doesn't know and Python may.
+LETTER = r"[\p{L}\p{Cn}]"
 #: Bits a character by which the entropy of a text may exceed what nearly all texts of its language have; more for a short one.
 SLACK, SHORT = 1.5, 6.0
 
@@ -74,7 +76,8 @@ def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]
     """counts: for each language, the sorted grams of ORDER characters and how often each occurs.
 
     The highest order uses the counts, each lower one in how many kinds of the order above a gram ends. The
-    discount is n1 / (n1 + 2 * n2); below single characters stands a uniform share.
+    discount is n1 / (n1 + 2 * n2); below single characters stands a uniform share, over the characters of all
+    languages, so that no language is cheap for what it hasn't seen.
     """
     per_order, now = [], counts
     for order in range(ORDER, 0, -1):
@@ -82,7 +85,7 @@ def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]
         mask = (np.uint64(1) << np.uint64(16 * (order - 1))) - np.uint64(1)
         now = [np.unique(k & mask, return_counts=True) for k, _ in now]
     n_lang = len(languages)
-    alphabet = [len(k) + 1 for k, _ in per_order[-1]]
+    alphabet = np.full(n_lang, len(np.unique(np.concatenate([k for k, _ in per_order[-1]]))) + 1, float)
     floor = np.zeros(n_lang)
     levels: list[Level] = []
     for depth in range(ORDER - 1, -1, -1):  # from single characters up
@@ -99,8 +102,8 @@ def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]
             weight[np.searchsorted(context, ctx), j] = cut * np.bincount(of) / total
         of = np.searchsorted(context, key >> np.uint64(16))
         if depth == ORDER - 1:
-            lower = np.broadcast_to(1 / np.array(alphabet, float), (len(key), n_lang))
-            floor = np.log2(1 / np.array(alphabet, float))
+            lower = np.broadcast_to(1 / alphabet, (len(key), n_lang))
+            floor = np.log2(1 / alphabet)
         else:
             below = Models(languages, levels, floor)
             shift = np.uint64(16 * (ORDER - 1 - depth))
@@ -131,29 +134,49 @@ def _count(batches):
 def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
     """From rows of docs (doc_id, text, lang) with a text and a lang: about sample_chars characters of each language.
 
-    Four fifths of the sample make the models, the rest sets each language's limit. Counts of the sample reach
-    the driver, at most sample_chars a language. Without rows there is no language.
+    Four fifths of the sample make the models, the rest sets each language's limit. Where that leaves less than half
+    of what a language has (a few texts, or very long ones), more of its texts are drawn and all of them make the
+    model; its limit is then the cost of characters drawn uniformly from those of all languages. Counts of the sample
+    reach the driver. A language without letters isn't learned; without rows there is no language.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return Models([], [], np.zeros(0), np.zeros(0))
     parts = 1 << 20
     draw = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(parts))
-    share = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_chars / max(sizes[lang], 1)))).otherwise(share)
-    sample = work_table(known.filter(draw < share * parts).select("lang", "text", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)).alias("part")))
-    counted = sample.filter("part > 0").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)).alias("part")
+
+    def drawn(shares: dict[str, float]) -> DataFrame:
+        share = F.lit(0.0)
+        for lang, x in shares.items():
+            share = F.when(F.col("lang") == lang, F.lit(x)).otherwise(share)
+        return work_table(known.filter(draw < share * parts).select("lang", "text", part))
+
+    def characters(rows: DataFrame) -> dict[str, int]:
+        return {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+
+    shares = {lang: min(1.0, sample_chars / n) for lang, n in sizes.items()}
+    sample = drawn(shares)
+    enough = {lang: min(n, sample_chars) / 2 for lang, n in sizes.items()}
+    have = characters(sample.filter("part > 0"))
+    thin = sorted(lang for lang in sizes if have.get(lang, 0) < enough[lang])
+    learned = sample.filter("part > 0").filter(~F.col("lang").isin(thin)).select("lang", "text")
+    rest = {lang: shares[lang] for lang in thin}
+    while rest:
+        rows = drawn(rest)
+        have = characters(rows)
+        done = [lang for lang in rest if have.get(lang, 0) >= enough[lang] or rest[lang] >= 1]
+        learned = learned.union(rows.filter(F.col("lang").isin(done)).select("lang", "text"))
+        rest = {lang: min(1.0, 4 * x) for lang, x in rest.items() if lang not in done}
+    counted = learned.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(counted.lang.unique())
+    if not languages:
+        return Models([], [], np.zeros(0), np.zeros(0))
     counts = []
     for lang in languages:
         own = counted[counted.lang == lang]
         key = own.gram.to_numpy(np.int64).view(np.uint64)
         order = np.argsort(key)
         counts.append((key[order], own.n.to_numpy(np.int64)[order]))
-    if not any(len(k) for k, _ in counts):
-        return Models([], [], np.zeros(0), np.zeros(0))
     models = kneser_ney(counts, languages)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -167,9 +190,13 @@ def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
             own = bits[np.arange(len(langs)), [m.languages.index(x) for x in langs]]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), pa.array(size)], ["lang", "bits", "size"])
 
-    unseen = sample.filter("part = 0").select("lang", "text").mapInArrow(own_entropy, "lang string, bits double, size long").filter("size >= 200")
-    high = {r["lang"]: r["q"] for r in unseen.groupBy("lang").agg(F.percentile_approx("bits", 0.99).alias("q")).collect()}
-    models.limit = np.array([high.get(x, np.inf) for x in languages]) + SLACK
+    unseen = sample.filter("part = 0").filter(F.col("lang").isin([x for x in languages if x not in thin])).select("lang", "text")
+    unseen = unseen.mapInArrow(own_entropy, "lang string, bits double, size long").filter("size > 0")
+    long = F.col("size") >= 200
+    short = F.col("bits") - SHORT / F.sqrt("size")  # what predict() adds for a short text
+    quantiles = unseen.groupBy("lang").agg(F.percentile_approx(F.when(long, F.col("bits")), 0.99).alias("q"), F.percentile_approx(short, 0.99).alias("s")).collect()
+    high = {r["lang"]: (r["q"] if r["q"] is not None else r["s"]) + SLACK for r in quantiles}
+    models.limit = np.array([high.get(x, -models.floor[j]) for j, x in enumerate(languages)])
     return models
 
 
