@@ -110,7 +110,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_codec.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), spans=True)
 
 
 QUERIES = {

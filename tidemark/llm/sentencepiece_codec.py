@@ -17,9 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import slim, work_table
+
 MARK = "▁"
-#: Words that a worker remembers.
-MEMORY = 1 << 19
+#: Words that a worker remembers, and the longest of them in characters: a few MB in all.
+MEMORY, LONGEST = 1 << 16, 32
 
 
 class CharacterMap:
@@ -79,6 +81,7 @@ class Codec:
         kinds = spec.SentencePiece
         self.surface = [bytes([int(p.piece[3:-1], 16)]) if p.type == kinds.BYTE else p.piece.encode() for p in spec.pieces]
         self.length = np.array([0 if p.type == kinds.CONTROL else len(s) for p, s in zip(spec.pieces, self.surface)], np.int64)
+        self.unknown = {i for i, p in enumerate(spec.pieces) if p.type == kinds.UNKNOWN}
         bpe = spec.trainer_spec.model_type == spec.trainer_spec.BPE and spec.trainer_spec.byte_fallback
         odd = any(p.type == kinds.USER_DEFINED or MARK in p.piece.lstrip(MARK) for p in spec.pieces)
         self.by_words = self.identity and self.prefix and bpe and not odd and not spec.trainer_spec.treat_whitespace_as_suffix
@@ -92,10 +95,10 @@ class Codec:
             raw = np.frombuffer(source, np.uint8)
             if not len(raw):
                 return b"", np.zeros(1, np.int64)
-            wide = np.where(raw == 32, 3, 1)
+            wide = np.where(raw == 32, np.uint8(3), np.uint8(1))
             out = ((MARK if self.prefix else "") + text.replace(" ", MARK)).encode()
-            at = np.repeat(np.arange(len(raw) + 1), np.append(wide, 1))
-            return out, np.concatenate((np.zeros(3 * self.prefix, np.int64), at))
+            at = np.repeat(np.arange(len(raw) + 1, dtype=np.int32 if len(raw) < 2**31 - 1 else np.int64), np.append(wide, np.uint8(1)))
+            return out, np.concatenate((np.zeros(3 * self.prefix, at.dtype), at))
         parts, at, i = [], [], 0
         while i < len(source):
             n, new = self.map.longest(source, i)
@@ -136,28 +139,39 @@ class Codec:
         if got is None:
             ids = self.library.encode(word[1:]) if len(word) > 1 else [self.library.piece_to_id(MARK)]
             got = np.array(ids, "<u4").tobytes()
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            self.words[word] = got
+            if len(word) <= LONGEST:
+                if len(self.words) >= MEMORY:
+                    self.words.clear()
+                self.words[word] = got
         return got
 
-    def ids(self, text: str, normalised: bytes) -> np.ndarray:
+    def pieces(self, text: str, normalised: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and how many bytes of the normalised text each stands for: they tile it."""
         if self.by_words:
             body = b"".join(map(self._word, self.cut.findall(normalised.decode())))
-            return np.frombuffer(body, "<u4")
-        return np.array(self.library.encode(text), "<u4")
+            ids = np.frombuffer(body, "<u4")
+            return ids, self.length[ids]
+        got = self.library.encode(text, out_type="immutable_proto").pieces
+        ids = np.array([p.id for p in got], "<u4")
+        length = self.length[ids] if len(ids) else np.zeros(0, np.int64)
+        for k, p in enumerate(got):  # an unknown piece stands for the characters that it names
+            if p.id in self.unknown:
+                length[k] = len(p.piece.encode())
+        return ids, length
 
     def encode(self, text: str) -> Encoded:
         """With begin and end ids, as the library encodes it, without sampling."""
         normalised, at = self.normalise(text)
-        ids = self.ids(text, normalised)
-        stop = np.minimum(np.cumsum(self.length[ids]), len(at) - 1) if len(ids) else np.zeros(0, np.int64)
-        start = np.concatenate((np.zeros(min(1, len(ids)), np.int64), stop[:-1]))
+        ids, length = self.pieces(text, normalised)
+        if length.sum() != len(normalised):
+            raise ValueError("the pieces don't tile the normalised text")
+        stop = np.cumsum(length)
+        start = stop - length
         n = at[-1]
         return Encoded(
             np.concatenate(([self.library.bos_id()], ids, [self.library.eos_id()])).astype("<u4"),
-            np.concatenate(([0], at[start], [n])),
-            np.concatenate(([0], at[stop], [n])),
+            np.concatenate(([0], at[start], [n])).astype("<i8"),
+            np.concatenate(([0], at[stop], [n])).astype("<i8"),
         )
 
     def decode(self, ids: np.ndarray) -> str:
@@ -182,6 +196,7 @@ def _mapped(docs: DataFrame, path: str, schema: str, columns, batch: int = 64) -
 
     known = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
     names, kinds = zip(*((f.split()[0], known[f.split()[1]]) for f in schema.split(", ")))
+
     def run(batches):
         own = codec(path)
         for b in batches:
@@ -189,13 +204,14 @@ def _mapped(docs: DataFrame, path: str, schema: str, columns, batch: int = 64) -
                 got = list(zip(*(columns(own, t or "") for t in b.column(1)[i : i + batch].to_pylist())))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i : i + batch], *(pa.array(x, t) for x, t in zip(got, kinds))], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(slim(run), f"doc_id {kind}, {schema}")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, starts, ends, decoded) for every row of docs (doc_id, text): ids with begin and end ids, the
     source bytes [start, end) of each, and what the ids decode to. A null text is empty; texts are taken whole;
-    repeated rows are encoded each; an empty table gives an empty one. path: a model file that executors can read."""
+    repeated rows are encoded each; an empty table gives an empty one; further columns aren't looked at. path: a model
+    file that executors can read."""
 
     def one(c: Codec, text: str):
         e = c.encode(text)
@@ -204,11 +220,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return _mapped(docs, path, "ids array<int>, starts array<long>, ends array<long>, decoded string", one)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() with its wide columns reduced where they arise."""
+def digests(docs: DataFrame, path: str, spans: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() with its wide columns reduced where they arise. With
+    spans also spans_sha256, of the starts and then the ends of all pieces as little-endian signed 64-bit integers."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def one(c: Codec, text: str):
         e = c.encode(text)
-        return len(e.ids), hashlib.sha256(e.ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(e.ids).encode()).hexdigest()
+        out = len(e.ids), sha(e.ids.tobytes()), sha(c.decode(e.ids).encode())
+        return (*out, sha(e.start.tobytes() + e.end.tobytes())) if spans else out
 
-    return _mapped(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", one)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", spans_sha256 string" * spans
+    return work_table(_mapped(docs, path, schema, one))
