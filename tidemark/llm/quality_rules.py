@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, work_table
+from .common import WORD, free_name, work_table
 
 #: Base rules, fixed by the contract.
 LEAST_WORDS, MOST_REPEAT_PCT, WINDOW = 20, 30, 8
@@ -27,40 +27,56 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
+def _beside(h: Column, by: int, f) -> Column:
+    """f(x[i], x[i + by]) for all i for which there are both."""
+    n = F.greatest(F.size(h) - by, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + by), n), f)
+
+
 def _covered(at: Column) -> Column:
     """Words that lie in windows found twice or more; at: (hash, first word) of the windows in order. A column
     of its own, for inside a function of elements an expression would be worked out for each element anew."""
-    pairs = F.transform(at, lambda x, k: F.struct(x["i"].alias("i"), ((x["h"] == F.get(at, k - 1)["h"]) | (x["h"] == F.get(at, k + 1)["h"])).alias("twice")))
+    twice = lambda x, k: (x["h"] == F.get(at, k - 1)["h"]) | (x["h"] == F.get(at, k + 1)["h"])
+    pairs = F.transform(at, lambda x, k: F.struct(x["i"].alias("i"), twice(x, k).alias("twice")))
     found = F.sort_array(F.transform(F.filter(pairs, lambda x: x["twice"]), lambda x: x["i"]))
     none = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
-    return F.aggregate(found, none, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")), lambda a: a["n"])
+    step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"))
+    return F.aggregate(found, none, step, lambda a: a["n"])
 
 
 def add_stats(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """docs with the counts of STATS, their names after prefix. A null text has no words and no lines."""
+    """docs with the counts of STATS, their names after prefix. A null text has no words and no lines. Other columns
+    may have any names but those of the counts.
+
+    Words are hashed once; the hash of a window of eight is put together from those of its halves, three times over.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    staged = docs.withColumn("_w", _words(text)).withColumn(
-        "_h", F.when(F.size("_w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    )
+    own = free_name([*docs.columns, *(prefix + k for k in STATS)])
+    words, hashes, two, four, eight, at, lines = (own + k for k in ("w", "h", "2", "4", "8", "at", "l"))
+    pair = lambda a, b: F.xxhash64(a, b)
+    staged = docs.withColumn(words, _words(text)).withColumn(hashes, F.transform(words, lambda x: F.xxhash64(x)))
+    for new, old, by in ((two, hashes, 1), (four, two, 2), (eight, four, 4)):
+        staged = staged.withColumn(new, _beside(F.col(old), by, pair))
     # most texts have no window twice: that is cheap to see
-    twice = F.size(F.array_distinct("_h")) < F.size("_h")
-    staged = staged.withColumn("_at", F.when(twice, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    staged = staged.withColumn("_l", F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != ""))
-    size = F.size("_w")
+    twice = F.size(F.array_distinct(eight)) < F.size(eight)
+    placed = F.transform(eight, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    staged = staged.withColumn(at, F.when(twice, F.array_sort(placed)))
+    staged = staged.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
     counts = {
-        "n_words": size,
-        "word_chars": F.length(F.translate(text, SPACES, "")),
-        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": F.when(F.col("_at").isNull(), F.lit(0)).otherwise(_covered(F.col("_at"))),
-        "n_lines": F.size("_l"),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")),
+        "n_symbols": F.regexp_count(text, F.lit("[" + SYMBOLS + "]")),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.when(F.col(at).isNull(), F.lit(0)).otherwise(_covered(F.col(at))),
+        "n_lines": F.size(lines),
         "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
         "n_lower": F.regexp_count(text, F.lit(r"\p{Ll}+")),
         # words that end in a letter or digit, with one mark of a sentence at most
         "n_ends": F.regexp_count(text, F.lit(r"[\p{L}\p{N}][.,;:!?]?(?=[\x20\x09-\x0D]|\z)")),
-        "n_stutter": F.size(F.filter(F.arrays_zip(F.slice("_w", F.lit(1), F.greatest(size - 1, F.lit(0))).alias("a"), F.slice("_w", F.lit(2), F.greatest(size - 1, F.lit(0))).alias("b")), lambda p: p["a"] == p["b"])),
+        "n_stutter": F.size(F.filter(_beside(F.col(hashes), 1, lambda a, b: a == b), lambda same: same)),
     }
-    return staged.withColumns({prefix + k: v.cast("long") for k, v in counts.items()}).drop("_w", "_h", "_at", "_l")
+    staged = staged.withColumns({prefix + k: v.cast("long") for k, v in counts.items()})
+    return staged.drop(words, hashes, two, four, eight, at, lines)
 
 
 def votes(prefix: str = "") -> dict[str, Column]:
@@ -116,9 +132,10 @@ class LabelModel:
 GOOD, BAD = (0.01, 0.04, 0.95), (0.3, 0.1, 0.6)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200, belief: float = 0.1) -> LabelModel:
-    """EM over (votes, count). GOOD and BAD count as `belief` times as many rows as there are, and ten more:
-    they say which class is the good one, and no probability is 0. Without patterns they are the result."""
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200, belief: float = 0.01) -> LabelModel:
+    """EM over (votes, count). GOOD and BAD count as `belief` times as many rows as there are, and ten more: enough to
+    say which class is the good one, and for no probability to be 0; what each rule is worth comes from the rows.
+    Without patterns they are the result."""
     total = sum(n for _, n in patterns)
     weight = belief * total + 10
     model = LabelModel(0.8, (GOOD,) * n_rules, (BAD,) * n_rules)
@@ -170,9 +187,7 @@ def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that judge() keeps, with all columns of docs and nothing else; names that clash with
     the counts don't matter. Texts are counted over once: the rows are written beside their votes, and the filter
     reads those."""
-    mark = "_q"
-    while any(c.lower().startswith(mark) for c in docs.columns):
-        mark += "_"
+    mark = free_name(docs.columns)
     counted = add_stats(docs, mark)
     rules = [v.cast("byte").alias(f"{mark}v{j}") for j, v in enumerate(votes(mark).values())]
     voted = work_table(counted.select(*[F.col(f"`{c}`") for c in docs.columns], *rules, base_failed(mark).alias(mark + "failed")))
