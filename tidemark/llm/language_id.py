@@ -13,11 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, work_table
+from .common import Scratch, fold_of, share, slim, work_table
 from .letters import chunks, grams, per_text, sequences
 
-#: Characters that each language is learned from, in whole texts chosen by a hash of their ids.
-SAMPLE_CHARS = 600_000
+#: Characters that each language is learned from, in whole texts chosen by a hash of id and text; with many languages each
+#: gets its part of ALL_CHARS, which bounds what reaches the driver.
+SAMPLE_CHARS, ALL_CHARS = 600_000, 60_000_000
 ORDER = 4
 #: A text has letters, or characters that this Java doesn't know and Python may.
 LETTER = r"[\p{L}\p{Cn}]"
@@ -137,19 +138,27 @@ def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
     Four fifths of the sample make the models, the rest sets each language's limit. Where that leaves less than half
     of what a language has (a few texts, or very long ones), more of its texts are drawn and all of them make the
     model; its limit is then the cost of characters drawn uniformly from those of all languages. Counts of the sample
-    reach the driver. A language without letters isn't learned; without rows there is no language.
+    reach the driver. A language without letters isn't learned; without rows there is no language. The model is dense
+    in languages: there may be hundreds. A row that is repeated is drawn as often as it stands there, or not at all.
     """
+    with Scratch() as inner:
+        models = _learn(docs, sample_chars)
+    inner.drop()
+    return models
+
+
+def _learn(docs: DataFrame, sample_chars: int) -> Models:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    sample_chars = min(sample_chars, ALL_CHARS // max(len(sizes), 1))
     parts = 1 << 20
-    draw = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(parts))
-    part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)).alias("part")
+    draw = F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(parts))
+    part = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(5)).alias("part")
+    spark = docs.sparkSession
 
     def drawn(shares: dict[str, float]) -> DataFrame:
-        share = F.lit(0.0)
-        for lang, x in shares.items():
-            share = F.when(F.col("lang") == lang, F.lit(x)).otherwise(share)
-        return work_table(known.filter(draw < share * parts).select("lang", "text", part))
+        small = F.broadcast(spark.createDataFrame(sorted(shares.items()), "lang string, share double"))  # a row a language
+        return work_table(known.join(small, "lang").filter(draw < F.col("share") * parts).select("lang", "text", part))
 
     def characters(rows: DataFrame) -> dict[str, int]:
         return {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
@@ -167,7 +176,7 @@ def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
         done = [lang for lang in rest if have.get(lang, 0) >= enough[lang] or rest[lang] >= 1]
         learned = learned.union(rows.filter(F.col("lang").isin(done)).select("lang", "text"))
         rest = {lang: min(1.0, 4 * x) for lang, x in rest.items() if lang not in done}
-    counted = learned.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = work_table(learned.mapInArrow(slim(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))).toPandas()
     languages = sorted(counted.lang.unique())
     if not languages:
         return Models([], [], np.zeros(0), np.zeros(0))
@@ -178,7 +187,7 @@ def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
         order = np.argsort(key)
         counts.append((key[order], own.n.to_numpy(np.int64)[order]))
     models = kneser_ney(counts, languages)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = share(spark, models)
 
     def own_entropy(batches):
         import pyarrow as pa
@@ -191,7 +200,7 @@ def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), pa.array(size)], ["lang", "bits", "size"])
 
     unseen = sample.filter("part = 0").filter(F.col("lang").isin([x for x in languages if x not in thin])).select("lang", "text")
-    unseen = unseen.mapInArrow(own_entropy, "lang string, bits double, size long").filter("size > 0")
+    unseen = work_table(unseen.mapInArrow(slim(own_entropy), "lang string, bits double, size long")).filter("size > 0")
     long = F.col("size") >= 200
     short = F.col("bits") - SHORT / F.sqrt("size")  # what predict() adds for a short text
     quantiles = unseen.groupBy("lang").agg(F.percentile_approx(F.when(long, F.col("bits")), 0.99).alias("q"), F.percentile_approx(short, 0.99).alias("s")).collect()
@@ -208,20 +217,21 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     rejected: und, or more bits than the language's limit (plus SHORT / sqrt(characters)). Repeated rows get
     equal results; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    with Scratch() as inner:
+        shared = share(docs.sparkSession, models)
 
-    def run(batches):
-        import pyarrow as pa
+        def run(batches):
+            import pyarrow as pa
 
-        m = shared.value
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                lang, score, bits, rejected = predict(m, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)], ["doc_id", "lang_pred", "score", "bits", "rejected"])
+            for b in batches:
+                lang, score, bits, rejected = predict(shared.value, b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)], ["doc_id", "lang_pred", "score", "bits", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double, rejected boolean")
+        schema = f"doc_id {kind}, lang_pred string, score double, bits double, rejected boolean"
+        out = work_table(docs.select("doc_id", "text").mapInArrow(slim(run), schema))
+    inner.drop(out)
+    return out
 
 
 def predict(m: Models, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -246,15 +256,16 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
     """The rows of docs that identify() doesn't reject, with all their columns, in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
     at = [f.name for f in docs.schema].index("text")
+    with Scratch() as inner:
+        shared = share(docs.sparkSession, models)
 
-    def run(batches):
-        import pyarrow as pa
+        def run(batches):
+            import pyarrow as pa
 
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                yield part.filter(pa.array(~predict(shared.value, part.column(at).to_pylist())[3]))
+            for b in batches:
+                yield b.filter(pa.array(~predict(shared.value, b.column(at).to_pylist())[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+        out = work_table(docs.mapInArrow(slim(run), docs.schema))
+    inner.drop(out)
+    return out

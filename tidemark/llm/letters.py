@@ -19,7 +19,8 @@ def sequences(texts: list[str | None], before: int = 3) -> tuple[np.ndarray, np.
     """(codes, starts): the texts' characters one after the other, text i at starts[i]:starts[i + 1].
 
     A text begins with `before` spaces; what isn't a letter becomes a space, and a run of those one space.
-    Codes are the lower 16 bits of a character. A null text is empty; a text without letters is its first spaces.
+    Codes are UTF-16's: a letter beyond 16 bits is two of them. A null text is empty; a text without letters is its
+    first spaces.
     """
     pad = " " * before
     lower = [pad + t.lower() + " " if t else pad for t in texts]
@@ -30,8 +31,18 @@ def sequences(texts: list[str | None], before: int = 3) -> tuple[np.ndarray, np.
     keep[1:] |= letter[:-1]
     for k in range(before):
         keep[start[:-1] + k] = True
-    out = np.where(letter, code, 32).astype(np.uint64)[keep] & np.uint64(0xFFFF)
-    return out, np.concatenate(([0], np.cumsum(keep)))[start]
+    out = np.where(letter, code, 32).astype(np.uint64)[keep]
+    place = np.concatenate(([0], np.cumsum(keep)))[start]
+    wide = out > 0xFFFF
+    if wide.any():
+        size = np.where(wide, 2, 1)
+        first = np.cumsum(size) - size
+        place = np.append(first, size.sum())[place]
+        both, rest = np.repeat(out, size), out[wide] - np.uint64(0x10000)
+        both[first[wide]] = np.uint64(0xD800) + (rest >> np.uint64(10))
+        both[first[wide] + 1] = np.uint64(0xDC00) + (rest & np.uint64(0x3FF))
+        out = both
+    return out, place
 
 
 def grams(codes: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
