@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, work_table
+from .common import WORD, Scratch, free_name, work_table
 
 BITS = 16
 #: A document is taken at most so many times.
@@ -34,28 +34,33 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
 
     The sources, by code point with null last, weigh `weights`, repeating, and share all words. A target
     above `most` times its source's size stops there, and the excess is shared by weight among the others
-    until none is above. This is a water level: with x = most * size / weight, the sources with the
-    smallest x stop, those of x above the level get weight * level; running sums over the sources in the
-    order of x give the level directly. One row a source is ordered here.
+    until none is above. This is a water level: with x = most * size / weight, sources of x up to the level
+    stop, the others get weight * level. From the level without stops it rises to its place in steps, each one
+    sum over the sources. They are ordered by range, so no task holds them all; only sums reach the driver.
     """
-    turn = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
-    below = Window.orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy("x", "turn").rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
+    spark = by_source.sparkSession
+    ordered = by_source.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
+    ordered = work_table(ordered.select("source", "source_size", F.monotonically_increasing_id().alias("at")))
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(2**33 - 1)
+    counts = sorted(tuple(r) for r in ordered.groupBy(part.alias("part")).count().collect())  # a row a partition
+    before = [(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)]
+    offsets = F.broadcast(spark.createDataFrame(before, "part long, before long"))
+    turn = F.col("before") + within
     kinds = F.array(*[F.lit(w) for w in weights])
-    level = (F.col("all") - F.coalesce(F.sum(F.col("source_size") * most).over(below), F.lit(0))) / F.sum("weight").over(upto)
-    out = (
-        by_source.withColumn("turn", F.row_number().over(turn) - 1)
-        .withColumn("weight", F.element_at(kinds, (F.col("turn") % len(weights) + 1).cast("int")))
-        .withColumn("x", F.col("source_size") * float(most) / F.col("weight"))
-        .withColumn("all", F.sum("source_size").over(whole))
-        .withColumn("level", level)
-    )
-    # the level is that of the first source, by x, that does not stop
-    final = F.min(F.when(F.col("level") < F.col("x"), F.struct("x", "turn", "level"))).over(whole)["level"]
-    return out.withColumn("final", final).select(
-        "source", "source_size", F.when(F.col("final").isNull() | (F.col("x") <= F.col("final")), F.col("source_size") * float(most)).otherwise(F.col("weight") * F.col("final")).alias("target")
-    )
+    sources = ordered.withColumn("part", part).join(offsets, "part").withColumn("turn", turn)
+    sources = sources.withColumn("weight", F.element_at(kinds, (F.col("turn") % len(weights) + 1).cast("int")))
+    sources = work_table(sources.select("source", "source_size", "weight", (F.col("source_size") * float(most) / F.col("weight")).alias("x")))
+    level, stopped = -1.0, None
+    while True:
+        stops = F.col("x") <= level
+        s = sources.agg(
+            F.sum("source_size"), F.coalesce(F.sum(F.when(stops, F.col("source_size") * most)), F.lit(0)), F.sum(F.when(~stops, F.col("weight"))), F.count(F.when(stops, 1))
+        ).first()
+        if s[2] is None or s[3] == stopped:  # all stop, or none more
+            break
+        level, stopped = float(s[0] - s[1]) / float(s[2]), s[3]
+    free = F.lit(s[2] is not None) & (F.col("x") > level)
+    return sources.select("source", "source_size", F.when(free, F.col("weight") * level).otherwise(F.col("source_size") * float(most)).alias("target"))
 
 
 def _boundary(parts: DataFrame, budget: Column, bucket: str) -> DataFrame:
@@ -119,8 +124,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     source of its own, a null doc_id hashes as an empty text; an empty table gives an empty table. Further columns
     of docs are not looked at.
     """
-    sized = _sized(docs)
-    out = sized.join(plan(sized, weights, most), "key").withColumn("times", _times(most))
+    with Scratch() as inner:
+        sized = _sized(docs)
+        out = sized.join(plan(sized, weights, most), "key").withColumn("times", _times(most))
+    inner.drop(out)
     return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
@@ -129,11 +136,11 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     Texts don't move: each row meets its source's line of the plan.
     """
-    goals = plan(_sized(docs), weights, most).select("key", "full", "limit")
+    with Scratch() as inner:
+        goals = plan(_sized(docs), weights, most).select("key", "full", "limit")
+    inner.drop(goals)
     few = goals.limit(100_001).count() <= 100_000
-    mark = "_m"
-    while any(c.lower().startswith(mark) for c in docs.columns):
-        mark += "_"
+    mark = free_name(docs.columns)
     goals = goals.toDF(mark + "key", mark + "full", mark + "limit")
     key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
     times = F.least(F.col(mark + "full") + F.when(point(F.col("doc_id")) < F.col(mark + "limit"), 1).otherwise(0), F.lit(most))
