@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, work_table
+from .common import Scratch, fold_of, share, slim, work_table
 from .letters import chunks, grams, sequences
 from .shingles import mix
 
@@ -84,8 +84,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """From rows of labels (doc_id, toxic) and the texts of docs (doc_id, text): about `sample` rows of each class.
 
     Rows with a null label, id or text teach nothing; of an id labelled twice the higher label counts. What
-    reaches the driver is bounded by the sample and by FEATURES. With rows of one class or none, every score is 0.
+    reaches the driver is bounded by the sample and by FEATURES: an id on many rows teaches once, by the first of its
+    texts. With rows of one class or none, every score is 0.
     """
+    with Scratch() as inner:
+        model = _learn(docs, labels, sample)
+    inner.drop()
+    return model
+
+
+def _learn(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     spark = docs.sparkSession
     known = work_table(labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y")))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -93,9 +101,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
     parts = 1 << 30
     draw = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(parts))
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, sample / sizes[1]))).otherwise(F.lit(min(1.0, sample / sizes[0])))
-    chosen = known.filter(draw < share * parts).limit(3 * sample)  # two classes of about `sample`: far below the limit
-    rows = work_table(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "y"))
+    part = F.when(F.col("y") == 1, F.lit(min(1.0, sample / sizes[1]))).otherwise(F.lit(min(1.0, sample / sizes[0])))
+    chosen = known.filter(draw < part * parts).limit(3 * sample)  # two classes of about `sample`: far below the limit
+    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = work_table(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y"))
 
     def count(batches):
         import pyarrow as pa
@@ -124,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n0, n1 = (rows.filter(f"y = {k}").count() for k in (0, 1))
     if not n0 or not n1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
-    counted = rows.mapInArrow(count, "h long, other long, toxic long").groupBy("h").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counted = rows.mapInArrow(slim(count), "h long, other long, toxic long").groupBy("h").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + 1.0) / (n1 + 2.0)) - F.log((F.col("other") + 1.0) / (n0 + 2.0))
     best = counted.filter(F.col("other") + F.col("toxic") >= LEAST).withColumn("r", ratio)
     # by how far the ratio is from 0 for the texts it rests on
@@ -132,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     key, r = top.h.to_numpy(np.int64).view(np.uint64), top.r.to_numpy()
     order = np.argsort(key)
     key, r = key[order], r[order]
-    empty = spark.sparkContext.broadcast(Model(key, np.zeros(len(key)), 0.0))
+    empty = share(spark, Model(key, np.zeros(len(key)), 0.0))
 
     def design(batches):
         import pyarrow as pa
@@ -143,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             own = [feature[a:z].astype(np.int32).tobytes() for a, z in zip(*(np.searchsorted(text, np.arange(b.num_rows), side=s) for s in ("left", "right")))]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), b.column(1)], ["features", "y"])
 
-    got = rows.mapInArrow(design, "features binary, y int").toPandas().sort_values(["y", "features"])
+    got = rows.mapInArrow(slim(design), "features binary, y int").toPandas().sort_values(["y", "features"])
     own = [np.frombuffer(x, np.int32) for x in got.features]
     y = got.y.to_numpy(np.float64)
     text, feature = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]), np.concatenate(own)
@@ -156,18 +165,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) for every row of docs (doc_id, text). A null or empty text has no feature and
     gets the score of the bias; texts are taken whole; repeated rows get equal scores; an empty table gives an empty one."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    with Scratch() as inner:
+        shared = share(docs.sparkSession, model)
 
-    def run(batches):
-        import pyarrow as pa
+        def run(batches):
+            import pyarrow as pa
 
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(part.column(1).to_pylist()))], ["doc_id", "score"])
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1).to_pylist()))], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+        out = work_table(docs.select("doc_id", "text").mapInArrow(slim(run), f"doc_id {kind}, score double"))
+    inner.drop(out)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
