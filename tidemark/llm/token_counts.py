@@ -10,14 +10,19 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+import uuid
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, share, slim, work_table
+
 #: Entries of the broadcast table, of each task's report for it, of a worker's memory.
 TABLE, REPORT, MEMORY = 1 << 15, 1 << 13, 1 << 19
+#: Characters of the longest word that is remembered.
+LONGEST = 63
 #: The split of byte-level BPE before its merges: a fixed value of the format.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -56,7 +61,8 @@ class Lengths(dict):
             self.before = dict(self)
             self.clear()
             self.update(self.table)
-        self[word] = n
+        if len(word) <= LONGEST:
+            self[word] = n
         return n
 
 
@@ -97,17 +103,17 @@ def frequent_words(docs: DataFrame) -> list[str]:
         import pyarrow as pa
 
         seen: Counter = Counter()
-        run = re.compile(r" [^\W\d_]+")
+        run = re.compile(r" [^\W\d_]{1,%d}(?![^\W\d_])" % LONGEST)
         for b in batches:
             for text in b.column(0).to_pylist():
                 if text:
                     seen.update(run.findall(text))
                 if len(seen) > MEMORY:
                     seen = Counter(dict(seen.most_common(MEMORY // 4)))
-        top = [x for x in seen.most_common(REPORT) if x[1] > 1 and len(x[0]) < 64]
+        top = [x for x in seen.most_common(REPORT) if x[1] > 1]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    top = docs.select("text").mapInArrow(report, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TABLE)
+    top = docs.select("text").mapInArrow(slim(report), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TABLE)
     return [r["word"] for r in top.collect()]
 
 
@@ -123,27 +129,29 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """
     from tokenizers import Tokenizer
 
-    words = frequent_words(docs)
-    tokenizer = Tokenizer.from_file(path)
-    lengths = np.array([len(e.ids) for e in tokenizer.encode_batch(words, add_special_tokens=False)], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(("\n".join(words).encode(), lengths))
-
-    def run(batches):
-        import pyarrow as pa
-
-        key = (path, shared.id if hasattr(shared, "id") else id(shared))
-        if key not in _counters:
-            blob, sizes = shared.value
-            _counters.clear()
-            _counters[key] = Counter2(path, dict(zip(blob.decode().split("\n"), sizes.tolist())) if len(sizes) else {})
-        count = _counters[key].count
-        for b in batches:
-            texts = b.column(1)
-            for i in range(0, b.num_rows, 256):
-                some = [t or "" for t in texts[i : i + 256].to_pylist()]
-                n = [count(t) for t in some]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array([len(t.encode()) for t in some], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    with Scratch() as inner:
+        words = frequent_words(docs)
+        tokenizer = Tokenizer.from_file(path)
+        lengths = np.array([len(e.ids) for e in tokenizer.encode_batch(words, add_special_tokens=False)], np.uint8)
+        shared = share(docs.sparkSession, ("\n".join(words).encode(), lengths))
+        key = (path, uuid.uuid4().hex)
+
+        def run(batches):
+            import pyarrow as pa
+
+            if key not in _counters:
+                blob, sizes = shared.value
+                _counters.clear()
+                _counters[key] = Counter2(path, dict(zip(blob.decode().split("\n"), sizes.tolist())) if len(sizes) else {})
+            count = _counters[key].count
+            for b in batches:
+                texts = b.column(1)
+                for i in range(0, b.num_rows, 256):
+                    some = [t or "" for t in texts[i : i + 256].to_pylist()]
+                    n = [count(t) for t in some]
+                    yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array([len(t.encode()) for t in some], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        out = work_table(docs.select("doc_id", "text").mapInArrow(slim(run), f"doc_id {kind}, n_bytes long, n_tokens long"))
+    inner.drop(out)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
