@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 SYSTEM = "system"
+LINE_ENDS = r"[\n\x0B\f\r\x{85}\x{2028}\x{2029}]"
 #: Turns of a block: running totals are taken within blocks, and over the totals of blocks.
 BLOCK = 256
 
@@ -23,15 +24,18 @@ def rotate(turns: DataFrame) -> DataFrame:
     (nulls first), role and text; characters [start, stop) of the rendering hold the segment; characters [mask_start,
     mask_stop), null in turns of others, are trained on: content and end mark. A null role is the participant
     'unknown', a null text is empty, a null conv_id is a conversation of its own; repeated rows are turns each. Marks
-    inside a text are broken up by a space. A conversation with system turns alone has no rendering.
+    inside a text or a name are broken up by a space, and line ends in a name become one, so neither can open a turn.
+    Turns of one number, or without one, are a block that one task orders, spilling. Further columns are not looked
+    at. A conversation with system turns alone, or an empty table, has no rendering.
     """
+    broken = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     who = F.coalesce("role", F.lit("unknown"))
-    own = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), who.alias("who"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("content"))
+    own = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), who.alias("who"), broken(F.coalesce("text", F.lit(""))).alias("content"))
     speakers = own.filter(F.col("who") != SYSTEM).select("conv_id", F.col("who").alias("speaker")).distinct()
     met = own.join(speakers.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     role = F.when(F.col("who") == SYSTEM, SYSTEM).when(F.col("who") == F.col("speaker"), "assistant").otherwise("user")
     met = met.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("who")))
-    head = F.concat(F.lit(START), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit(START), "role", F.coalesce(F.concat(F.lit(" name="), broken(F.regexp_replace("name", LINE_ENDS, " "))), F.lit("")), F.lit("\n"))
     met = met.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "content", F.lit(END))).withColumn("size", F.length("segment").cast("long"))
     met = met.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
     keys = ["conv_id", "speaker", "block"]
