@@ -57,13 +57,25 @@ def format_duration(ms: Column) -> Column:
 
 
 def battery_time(seconds: Column) -> Column:
-    """'2h 5m 3s' or, below an hour, '5m 3s', below a minute '3s'."""
+    """'2h 5m 3s', below an hour '5m 3s', below a minute '0m 3s'."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
-    tail = F.concat(_int(s), F.lit("s"))
-    tail = F.when(seconds >= 60, F.concat(_int(m), F.lit("m "), tail)).otherwise(tail)
+    tail = F.concat(_int(m), F.lit("m "), _int(s), F.lit("s"))
     return F.when(h > 0, F.concat(_int(h), F.lit("h "), tail)).otherwise(tail)
 
 
+def battery_time_long(seconds: Column) -> Column:
+    """'1 hour, 5 minutes, 3 seconds'; hours only if there are any."""
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
+    named = lambda n, unit: F.concat(_int(n), F.lit(" " + unit), F.when(n == 1, "").otherwise("s"))
+    tail = F.concat(named(m, "minute"), F.lit(", "), named(s, "second"))
+    return F.when(h > 0, F.concat(named(h, "hour"), F.lit(", "), tail)).otherwise(tail)
+
+
+def running_seconds(system_uptime: Column, start_ticks: Column, ticks_a_second: int = 100) -> Column:
+    """How long a process has run: the system's uptime less its start, 0 at least."""
+    return F.greatest(system_uptime - F.floor(start_ticks / ticks_a_second), F.lit(0)).cast("long")
+
+
 def iso_to_ms(text: Column) -> Column:
     """Strict 'YYYY-MM-DDTHH:MM:SS[.fff]Z' to milliseconds since 1970; null for any other form, an offset, a time before
     1970 or a field out of range. Digits beyond milliseconds are cut. A day that its month lacks is null."""

@@ -67,7 +67,7 @@ def partition_fields(line: Column) -> Column:
 
 
 #: Filesystems that live on a device.
-PHYSICAL = ("ext2", "ext3", "ext4", "vfat", "exfat", "ntfs", "ntfs3", "fuseblk", "hfs", "hfsplus", "jfs", "reiserfs", "xfs", "btrfs", "bcachefs", "f2fs", "minix", "nilfs2", "zfs", "apfs")
+PHYSICAL = ("ext2", "ext3", "ext4", "msdos", "vfat", "exfat", "ntfs", "ntfs3", "fuseblk", "hfs", "hfsplus", "jfs", "reiserfs", "reiser4", "xfs", "btrfs", "bcachefs", "f2fs", "minix", "nilfs", "nilfs2", "zfs", "apfs")
 VIRTUAL_PREFIXES = ("loop", "ram", "zram")
 
 
@@ -86,6 +86,49 @@ def load_average(text: Column) -> Column:
     return F.transform(F.slice(F.split(F.trim(text), r"\s+"), 1, 3), lambda x: x.try_cast("float"))
 
 
+def memory_fields(text: Column) -> Column:
+    """/proc/meminfo to struct(total, used, swap_total, swap_used, cache) in bytes: what isn't available is used, and what
+    is available without being free is cache. Without an estimate of what is available, free and page caches count as that."""
+    kib = lambda k: keyed_value(text, k) * 1024
+    total, free = kib("MemTotal"), kib("MemFree")
+    known = lambda k: F.coalesce(kib(k), F.lit(0))
+    guess = free + known("Buffers") + known("Cached") + known("SReclaimable") - known("Shmem")
+    available = F.least(F.coalesce(kib("MemAvailable"), guess), total)
+    less = lambda a, b: F.greatest(a - b, F.lit(0))
+    return F.struct(
+        total.alias("total"), less(total, available).alias("used"), kib("SwapTotal").alias("swap_total"),
+        less(kib("SwapTotal"), kib("SwapFree")).alias("swap_used"), less(available, free).alias("cache"),
+    )
+
+
+def interface_counters(line: Column) -> Column:
+    """A line of /proc/net/dev to struct(name, rx_bytes, rx_packets, tx_bytes, tx_packets); nulls for its headings."""
+    v = F.split(F.trim(F.regexp_extract(line, r":(.*)$", 1)), r"\s+")
+    name = F.nullif(F.regexp_extract(line, r"^\s*([^:|\s]+):", 1), F.lit(""))
+    n = lambda i: F.when(name.isNotNull(), _part(v, i))
+    return F.struct(name.alias("name"), n(0).alias("rx_bytes"), n(1).alias("rx_packets"), n(8).alias("tx_bytes"), n(9).alias("tx_packets"))
+
+
+def objset_counters(text: Column) -> Column:
+    """A ZFS data set's kstat file to struct(name, read_bytes, write_bytes)."""
+    value = lambda k: F.regexp_extract(text, rf"(?m)^{k}\s+\d+\s+(\S.*?)\s*$", 1)
+    return F.struct(F.nullif(value("dataset_name"), F.lit("")).alias("name"), value("nread").try_cast("long").alias("read_bytes"), value("nwritten").try_cast("long").alias("write_bytes"))
+
+
+#: Engines of a GPU client whose busy times count as use; compute is counted apart.
+ENGINES = ("gfx", "dma", "dec", "enc", "enc_1", "jpeg", "vpe")
+
+
+def gpu_client(text: Column) -> Column:
+    """An fdinfo file to struct(client, busy_ns, compute_ns, vram_bytes); a null client if it is no GPU's. Only what
+    stands below the client's id counts."""
+    client = F.regexp_extract(text, r"(?m)^drm-client-id:\t(\d+)$", 1).try_cast("long")
+    below = F.regexp_extract(text, r"(?ms)^drm-client-id[^\n]*\n(.*)\z", 1)
+    value = lambda k: F.coalesce(F.regexp_extract(below, rf"(?m)^{k}:\s*(\d+)", 1).try_cast("long"), F.lit(0))
+    busy = sum((value(f"drm-engine-{e}") for e in ENGINES), F.lit(0).cast("long"))
+    return F.struct(client.alias("client"), busy.alias("busy_ns"), value("drm-engine-compute").alias("compute_ns"), (value("drm-memory-vram") * 1024).alias("vram_bytes"))
+
+
 def arc_size(text: Column) -> Column:
     """ZFS arcstats to struct(size, c_max, c_min)."""
     value = lambda k: F.regexp_extract(text, rf"(?m)^{k}\s+\d+\s+(\d+)", 1).try_cast("long")

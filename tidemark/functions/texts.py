@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 
 def equal_ignoring_case(a: Column, b: Column) -> Column:
-    return F.lower(a) == F.lower(b)
+    """Only A to Z have two cases here."""
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return low(a) == low(b)
 
 
 def ellipsis(text: Column, width: int) -> Column:
@@ -47,10 +49,10 @@ def ordinal(family: Column, families=FAMILIES) -> Column:
 
 
 def binary_name(cmdline: Column) -> Column:
-    """The program's name of a command line: the part after the last '/' before the first NUL or ':', cut at ' -'."""
+    """The program's name of a command line: of what stands before the first NUL or ':' the part after the last '/',
+    and of that what stands before ' -'."""
     head = F.split(cmdline, "[\x00:]", 2).getItem(0)
-    head = F.split(head, " -", 2).getItem(0)
-    return F.element_at(F.split(head, "/"), -1)
+    return F.split(F.element_at(F.split(head, "/"), -1), " -", 2).getItem(0)
 
 
 def process_name(comm: Column, cmdline: Column) -> Column:
@@ -70,14 +72,40 @@ def unescape_mount(text: Column) -> Column:
 
 
 #: Letters of process states.
-STATES = {"R": "Runnable", "S": "Sleeping", "D": "Disk Sleep", "Z": "Zombie", "T": "Stopped", "t": "Tracing", "X": "Dead", "I": "Idle", "W": "Waking", "K": "Wakekill", "P": "Parked"}
+STATES = {"R": "Runnable", "S": "Sleeping", "D": "UninterruptibleDiskSleep", "Z": "Zombie", "T": "Stopped", "t": "Tracing", "X": "Dead", "I": "Idle", "W": "Waking", "K": "Wakekill", "P": "Parked"}
 
 
 def state_name(letter: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), letter), F.lit("Unknown"))
 
 
-def sensor_name(chip: Column, label: Column) -> Column:
-    """'Chip: label' from what there is of both; 'Unknown' without either."""
-    big = F.concat(F.upper(F.substring(chip, 1, 1)), F.substring(chip, 2, 2**30))
-    return F.when(chip.isNotNull() & label.isNotNull(), F.concat(big, F.lit(": "), label)).otherwise(F.coalesce(label, big, F.lit("Unknown")))
+def sensor_name(chip: Column, label: Column, fallback: Column | None = None) -> Column:
+    """'chip: Label', the label with a capital. An absent chip gives way to `fallback`; an empty one does so only beside
+    a label. 'Unknown' if nothing is left. Repeated names are counted by filters.numbered."""
+    chip_name = F.nullif(chip, F.lit(""))
+    other = F.nullif(fallback if fallback is not None else F.lit(None).cast("string"), F.lit(""))
+    first = F.substring(label, 1, 1)
+    big = F.concat(F.when(first.rlike("^[a-z]$"), F.upper(first)).otherwise(first), F.substring(label, 2, 2**30))
+    prefix = F.coalesce(chip_name, other)
+    labelled = F.coalesce(F.concat(prefix, F.lit(": "), big), big)
+    bare = F.when(chip.isNotNull(), F.coalesce(chip_name, F.lit("Unknown"))).otherwise(F.coalesce(other, F.lit("Unknown")))
+    return F.when(label.isNotNull() & (label != ""), labelled).otherwise(bare)
+
+
+def disk_number(name: Column) -> Column:
+    """The 'disk<number>' in a device's name, or null."""
+    return F.nullif(F.regexp_extract(name, r"disk\d+", 0), F.lit(""))
+
+
+def padded_share(label: str, percent: Column, used: Column, total: Column) -> Column:
+    """'RAM:  51%   1.0GiB/2.0GiB': a legend's label with its share and its amounts."""
+    from .units import format_bytes
+
+    share = F.lpad(F.concat(F.bround(percent, 0).cast("long").cast("string"), F.lit("%")), 4, " ")
+    return F.concat(F.lit(label + ":"), share, F.lit("   "), format_bytes(used, True), F.lit("/"), format_bytes(total, True))
+
+
+def padded(text: Column, width: int, right: bool = False) -> Column:
+    """text with blanks up to a width; a longer text stays whole."""
+    blanks = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0)))
+    return F.concat(blanks, text) if right else F.concat(text, blanks)

@@ -21,8 +21,15 @@ def matches_any(text: Column, items: list[str], **how) -> Column:
 
 
 def keep(text: Column, items: list[str] | None, deny: bool = True, **how) -> Column:
-    """Whether a list keeps text: a deny list keeps what doesn't match, an allow list what does; no list keeps all."""
-    return F.lit(True) if items is None else matches_any(text, items, **how) != F.lit(deny)
+    """Whether a list keeps text: a deny list keeps what doesn't match, an allow list what does; no list keeps all.
+    Nothing matches a null text."""
+    return F.lit(True) if items is None else F.coalesce(matches_any(text, items, **how), F.lit(False)) != F.lit(deny)
+
+
+def keep_either(text: Column, first: dict | None, second: dict | None) -> Column:
+    """Whether one of two lists (arguments of keep) keeps text: each view narrows it down later."""
+    one = lambda how: F.lit(True) if how is None else keep(text, **how)
+    return one(first) | one(second)
 
 
 def keep_entry(name: Column, mount: Column, names: tuple[list[str], bool] | None, mounts: tuple[list[str], bool] | None) -> Column:
@@ -65,3 +72,30 @@ def numbered(df: DataFrame, name: str, order: str, out: str = "label") -> DataFr
     """Repeated names get ' (1)', ' (2)' from their second row on."""
     n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
     return df.withColumn(out, F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+
+
+def sections_with(lines: DataFrame, query: str, section: str = "section", line: str = "line", text: str = "text") -> DataFrame:
+    """Lines of a help text (section, line from 0, the first its heading) that hold query, ignoring case, and the headings of
+    their sections; `matches` tells them apart. Section 0, the contents, isn't searched; a blank query keeps all."""
+    wanted = query.strip().lower()
+    if not wanted:
+        return lines.withColumn("matches", F.lit(False))
+    found = lines.filter(F.col(section) > 0).withColumn("matches", F.lower(text).contains(wanted))
+    some = found.groupBy(section).agg(F.max("matches").alias("_some")).filter("_some").select(section)
+    return found.join(some, section, "left_semi").filter(F.col("matches") | (F.col(line) == 0))
+
+
+def chosen_series(df: DataFrame, core: str, position: int, show_average: bool) -> DataFrame:
+    """Rows of the series at a place of a legend: 0 is all, then the average (core -1) if shown, then the cores from 0."""
+    if position == 0:
+        return df if show_average else df.filter(F.col(core) >= 0)
+    return df.filter(F.col(core) == position - 1 - show_average)
+
+
+def legend_series(data: DataFrame, mounts: DataFrame, key: str, by_mount: bool) -> DataFrame:
+    """Keys of a legend in their order, from data (key, has_data) and mounts (key, mount_point). By device: what is
+    mounted, or has data in the window; by mount: what is mounted somewhere and has data."""
+    m = mounts.select(key, "mount_point", F.lit(True).alias("_known"))
+    met = data.join(m, key, "left")
+    shown = (F.col("mount_point") != "") & F.col("has_data") if by_mount else F.col("_known").isNotNull() | F.col("has_data")
+    return met.filter(shown).drop("_known").orderBy(key)

@@ -8,26 +8,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import orphans
+from .stored import stored
+from .views import ordinals
 
 
 def closure(rows: DataFrame, key: str, parent: str, most_levels: int = 1000) -> DataFrame:
     """(root, node, parent, depth, path) of every node that a root reaches; roots have no parent among the rows.
 
-    Cycles aren't reached from a root and so aren't there. One recursive query; its levels are as many as the
-    forest is deep."""
+    Cycles aren't reached from a root and so aren't there. One recursive query, whose rows are written once, for every
+    use of them would run it anew; its levels are as many as the forest is deep."""
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(most_levels))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    limits = {"spark.sql.cteRecursionLevelLimit": str(most_levels), "spark.sql.cteRecursionRowLimit": "-1"}
+    before = {k: spark.conf.get(k) for k in limits}
     name = "t" + uuid.uuid4().hex
     rows.select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView(name)
     orphans(rows, key, parent).select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView(name + "r")
-    return spark.sql(f"""
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        return stored(spark.sql(f"""
         WITH RECURSIVE c(root, node, parent, depth, path) AS (
           SELECT k, k, p, 0, array(k) FROM {name}r
           UNION ALL
           SELECT c.root, t.k, t.p, c.depth + 1, array_append(c.path, t.k)
           FROM c JOIN {name} t ON t.p = c.node WHERE NOT array_contains(c.path, t.k))
-        SELECT * FROM c""")
+        SELECT * FROM c"""))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.catalog.dropTempView(name)
+        spark.catalog.dropTempView(name + "r")
 
 
 def shown(closed: DataFrame, kept: DataFrame, key: str) -> DataFrame:
@@ -57,7 +67,7 @@ def depth_first(closed: DataFrame, values: DataFrame, key: str, by: str, descend
     ranks = closed.select("node", F.posexplode("path").alias("at", "a")).join(rank.withColumnRenamed("node", "a"), "a")
     path = ranks.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "rank"))), lambda x: x["rank"]).alias("ranks"))
     placed = v.join(path, "node")
-    return placed.withColumn("position", F.row_number().over(Window.orderBy("ranks")))
+    return ordinals(placed, [F.col("ranks")])
 
 
 def prefix(df: DataFrame) -> DataFrame:

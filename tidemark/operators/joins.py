@@ -29,15 +29,39 @@ def children(rows: DataFrame, key: str, parent: str) -> DataFrame:
 
 
 def first_of(rows: DataFrame, others: list[tuple[DataFrame, str]], value: str, out: str) -> DataFrame:
-    """The value of the first of others (each joined to its own column of rows) that has one."""
+    """The value of the first of others (each joined to its own column of rows) that has one; of a key that is repeated
+    there, the least."""
     names = []
     for i, (other, on) in enumerate(others):
-        right = other.select(F.col(other.columns[0]).alias(f"_k{i}"), F.col(value).alias(f"_v{i}"))
+        right = other.groupBy(F.col(other.columns[0]).alias(f"_k{i}")).agg(F.min(value).alias(f"_v{i}"))
         rows = rows.join(right, F.col(on) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         names.append(f"_v{i}")
     return rows.withColumn(out, F.coalesce(*names)).drop(*names)
 
 
+def without(rows: DataFrame, seen: DataFrame, on: list[str]) -> DataFrame:
+    """Rows that `seen` lacks."""
+    return rows.join(seen, on, "left_anti")
+
+
+def distinct_union(parts: list[DataFrame]) -> DataFrame:
+    """Each row of several collections once."""
+    return reduce(DataFrame.union, parts).distinct()
+
+
+def members_or_self(ids: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """(key, ids): the members of each row's group, itself alone where it has none. groups: (key, ids)."""
+    met = ids.select(key).join(groups.select(key, "ids"), key, "left")
+    return met.withColumn("ids", F.coalesce("ids", F.array(key)))
+
+
+def patch_ignoring_case(rows: DataFrame, patches: DataFrame, on: str, value: str) -> DataFrame:
+    """As patch, for keys that differ in case alone; of several patches for a key the least counts."""
+    right = patches.groupBy(F.lower(on).alias("_low")).agg(F.min(value).alias("_patch"))
+    met = rows.join(right, F.lower(on) == F.col("_low"), "left")
+    return met.withColumn(value, F.coalesce("_patch", value)).drop("_patch", "_low")
+
+
 def patch(rows: DataFrame, patches: DataFrame, on: str, value: str) -> DataFrame:
     """value from patches where they have a row, else the row's own."""
     right = patches.select(on, F.col(value).alias("_patch"))

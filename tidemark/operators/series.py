@@ -73,3 +73,20 @@ def fill_buckets(buckets: DataFrame, first_ms: int, last_ms: int, width_ms: int,
 def stacked(df: DataFrame, bucket: str, ordinal: str, total: str, out: str = "stacked") -> DataFrame:
     """Running total over the keys of a bucket, in a fixed order."""
     return df.withColumn(out, F.sum(total).over(Window.partitionBy(bucket).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def stacked_peak(df: DataFrame, bucket: str, total: str) -> DataFrame:
+    """The highest sum over the keys of a bucket: the top of a stack, 0 at least."""
+    return df.groupBy(bucket).agg(F.sum(total).alias("_sum")).agg(F.coalesce(F.max("_sum"), F.lit(0)).alias("peak"))
+
+
+def clamped(df: DataFrame, value: str, top: Column) -> DataFrame:
+    """Values above the top of an axis are drawn there."""
+    return df.withColumn(value, F.least(F.col(value), top))
+
+
+def fill_between(buckets: DataFrame, width_ms: int, out: str = "total") -> DataFrame:
+    """Every bucket from the first to the last that there is, those that are missing with 0."""
+    ends = buckets.agg(F.min("start_ms").alias("a"), F.max("start_ms").alias("z"))  # of one row
+    grid = ends.filter("a is not null").select(F.explode(F.sequence("a", "z", F.lit(width_ms).cast("long"))).alias("start_ms"))
+    return grid.join(buckets, "start_ms", "left").withColumn(out, F.coalesce(out, F.lit(0)))

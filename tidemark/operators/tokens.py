@@ -58,6 +58,30 @@ def totals(single: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def by_family(single: DataFrame) -> DataFrame:
+    """Totals of the families, with their place in the fixed order, which they are sorted by."""
+    from ..functions.texts import ordinal
+
+    return totals(single, ["family"]).withColumn("ordinal", ordinal(F.col("family"))).orderBy("ordinal", "family")
+
+
+def by_session(single: DataFrame, session: str = "session") -> DataFrame:
+    """Totals of each session, and the sum of its four counts."""
+    return totals(single, [session]).withColumn("total", sum((F.col(f) for f in FIELDS[1:]), F.col(FIELDS[0])))
+
+
+def grand_total(single: DataFrame) -> DataFrame:
+    """One row: the totals of everything, zeros if there is nothing."""
+    made = totals(single, [])
+    return made.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in made.columns])
+
+
+def by_bucket(buckets: DataFrame, families: list[str], value: str = "output") -> DataFrame:
+    """(start_ms, a column for each family, total): what a bucket lacks is 0."""
+    each = [F.coalesce(F.sum(F.when(F.col("family") == f, F.col(value))), F.lit(0)).alias(f) for f in families]
+    return buckets.groupBy("start_ms").agg(*each, F.sum(value).alias("total"))
+
+
 def last_duration(records: DataFrame, keys: list[str]) -> DataFrame:
     """The duration of the last finished turn by ord."""
     done = records.filter((F.col("type") == "system") & (F.col("subtype") == "turn_duration") & F.col("durationMs").isNotNull())

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def group_rows(df: DataFrame, key: str, row_id: str, sums: list[str], maxima: list[str] = (), carried: list[str] = ()) -> DataFrame:
     """One row a key: sums, maxima, how many rows (num_similar); carried columns and row_id from the row of the lowest id.
@@ -50,6 +52,31 @@ def sorted_rows(df: DataFrame, by: Column, descending: bool, tie: str) -> DataFr
     return df.orderBy(by.desc_nulls_last() if descending else by.asc_nulls_first(), F.col(tie).asc())
 
 
+#: Sort keys of a process table that aren't the column itself: names ignore case, users don't, and states go by their text.
+CASELESS = ("name", "command")
+
+
+def sorted_processes(df: DataFrame, column: str, descending: bool, tie: str = "pid") -> DataFrame:
+    """A process table by one of its columns; equal rows by ascending id, nulls (a user that isn't known) are smallest."""
+    key = F.lower(column) if column in CASELESS else F.col(column)
+    if column == tie:
+        return df.orderBy(F.col(tie).desc() if descending else F.col(tie).asc())
+    return sorted_rows(df, key, descending, tie)
+
+
+def ordinals(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
+    """df with the number of each row in an order, from 1, without one task that sees all rows: rows are dealt by ranges,
+    numbered within each, and how many the ranges before hold (a row a range) is added."""
+    spark = df.sparkSession
+    at = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted(tuple(r) for r in at.groupBy(part.alias("p")).count().collect())
+    before = [(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)]
+    offsets = F.broadcast(spark.createDataFrame(before, "_p long, _before long"))
+    number = F.col("_before") + F.col("_at").bitwiseAND(2**33 - 1) + 1
+    return at.withColumn("_p", part).join(offsets, "_p").withColumn(out, number).drop("_at", "_p", "_before")
+
+
 def page(df: DataFrame, start: int, rows: int) -> DataFrame:
     return df.offset(start).limit(rows)
 
@@ -63,6 +90,30 @@ def scroll_start(position: int, rows: int, start: int, forward: bool) -> int:
     return position if position < start else start if position < start + rows else max(0, position - rows + 1)
 
 
+def clamped_position(position: int, rows: int) -> int:
+    """The selected row after a table has got so many rows."""
+    return max(0, min(position, rows - 1))
+
+
+def legend(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """As much of a legend as there are rows for it."""
+    return df.orderBy(order).limit(max(rows, 0))
+
+
+#: Columns of a process table that show one of two things.
+TOGGLES = {"pid": "num_similar", "name": "command", "mem_bytes": "mem_percent"}
+
+
+def toggled(columns: list[str], *turned: str) -> list[str]:
+    """A list of columns in which some show the other of their two things."""
+    other = TOGGLES | {b: a for a, b in TOGGLES.items()}
+    return [other[c] if c in turned else c for c in columns]
+
+
+def hidden(columns: list[str], *names: str) -> list[str]:
+    return [c for c in columns if c not in names]
+
+
 def choose_columns(df: DataFrame, wanted: list[str], aliases: dict[str, str]) -> DataFrame:
     """Columns by name or alias, ignoring case, in the order asked for."""
     known = {c.lower(): c for c in df.columns} | {a.lower(): c for a, c in aliases.items()}
@@ -79,5 +130,10 @@ def with_total_row(df: DataFrame, label: str, name: str, value: str) -> DataFram
     return head.unionByName(df.select(name, value, F.lit(1).alias("ordinal")))
 
 
+def key_value_counts(df: DataFrame, keys: list[str], name: str, values: list[str]) -> DataFrame:
+    """Long to wide: how many rows of each key have each of the values."""
+    return df.groupBy(*keys).agg(*[F.count_if(F.col(name) == v).alias(v) for v in values])
+
+
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "channel", value: str = "watts") -> DataFrame:
     return df.unpivot(ids, columns, name, value)

@@ -63,13 +63,14 @@ def _locf(spark, sf):
 
 
 def _retention(spark, sf):
+    """The operator's own bound is inclusive, as is the SQL's."""
     rows = _events(spark, sf)
-    return rows.filter(F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 86400 SECONDS")).select("event_id")
+    return filters.retained(rows, "ts", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 86_400).select("event_id")
 
 
 def _fill(spark, sf):
     rows = series.bucket_totals(_events(spark, sf).filter("event_type = 'purchase'"), milliseconds(F.col("ts")), 3_600_000, [], F.lit(1).cast("long"))
-    return series.fill_buckets(rows, 1704067200000, 1704067200000 + 29 * DAY, 3_600_000)
+    return series.fill_between(rows, 3_600_000)
 
 
 def _buckets(spark, sf):
@@ -105,7 +106,9 @@ PLANS = {
     "distinct_steps": (lambda spark, sf: series.distinct_steps(_events(spark, sf), "user_id", "ts", "event_type").select("event_id"), "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE b IS NULL OR b <> event_type"),
     "reverse_offset": (lambda spark, sf: series.reverse_offset(_events(spark, sf), "ts").select("event_id", "offset_ms"), f"SELECT event_id, {_ms} - (SELECT max({_ms}) FROM events) AS offset_ms FROM events"),
     "bucket_totals": (_buckets, _B),
-    "bucket_gapfill": (_fill, f"WITH b AS (SELECT {_ms} - {_ms} % 3600000 AS start_ms, count(*)::BIGINT AS total FROM events WHERE event_type = 'purchase' GROUP BY 1), g AS (SELECT unnest(range(1704067200000, 1704067200000 + {29 * DAY} + 1, 3600000)) AS start_ms) SELECT start_ms, coalesce(total, 0) AS total FROM g LEFT JOIN b USING (start_ms)"),
+    "bucket_gapfill_all": (_fill, f"WITH b AS (SELECT {_ms} - {_ms} % 3600000 AS start_ms, count(*)::BIGINT AS total FROM events WHERE event_type = 'purchase' GROUP BY 1), g AS (SELECT unnest(range(min(start_ms), max(start_ms) + 1, 3600000)) AS start_ms FROM b) SELECT start_ms, coalesce(total, 0) AS total FROM g LEFT JOIN b USING (start_ms)"),
+    "bucket_peak": (lambda spark, sf: series.stacked_peak(_buckets(spark, sf), "start_ms", "total"), f"SELECT coalesce(max(s), 0)::BIGINT AS peak FROM (SELECT sum(total) AS s FROM ({_B}) GROUP BY start_ms)"),
+    "clamp_to_top": (lambda spark, sf: series.clamped(_events(spark, sf).select("event_id", "value"), "value", F.lit(400.0)), "SELECT event_id, least(value, 400.0::DOUBLE) AS value FROM events"),
     "bucket_stacked": (_stacked, f"WITH b AS ({_B}), o AS (SELECT *, list_position({sorted(TYPES)}, event_type)::INTEGER AS ordinal FROM b) SELECT *, (sum(total) OVER (PARTITION BY start_ms ORDER BY ordinal ROWS UNBOUNDED PRECEDING))::BIGINT AS stacked FROM o"),
     "family_totals": (lambda spark, sf: filters.ordinal_filter(_events(spark, sf).withColumn("n", F.lit(1).cast("long")), "event_type", "n", ["view", "click"]), "SELECT event_type, count(*)::BIGINT AS n, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END::INTEGER AS ordinal FROM events GROUP BY 1"),
     "ever_reported": (lambda spark, sf: filters.ever_reported(_events(spark, sf).withColumn("v", F.col("value") - 490), "user_id", "v").select("event_id"), "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value - 490 > 0)"),

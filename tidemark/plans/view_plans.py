@@ -83,10 +83,16 @@ def _patched(spark, sf):
 
 def _summed(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(1).cast("long").alias("n"))
-    c = table(spark, sf, "customer").filter("c_nationkey < 20").select(F.col("c_nationkey").alias("n_nationkey"), F.lit(1).cast("long").alias("n"))
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.lit(1).cast("long").alias("n"))
     return joins.summed_dimension(table(spark, sf, "nation").select("n_nationkey", "n_name"), [s, c], "n_nationkey", "n")
 
 
+def _sorted(spark, sf):
+    """All orders with their places in the order; the operator numbers ranges, so no task sees all rows."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.lower("o_orderpriority").alias("p"))
+    return views.ordinals(rows, [F.col("p").desc_nulls_last(), F.col("o_orderkey").asc()])
+
+
 def _orphans(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("p"))
     return joins.orphans(rows, "k", "p")
@@ -127,7 +133,7 @@ def _json(spark, sf):
 
 
 def _pivot(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == x).alias(x) for x in ("click", "view", "purchase")])
+    return views.key_value_counts(table(spark, sf, "events"), ["user_id"], "event_type", ["click", "view", "purchase"])
 
 
 def _conditional(spark, sf):
@@ -141,7 +147,7 @@ PLANS = {
     "cond_counts": (_conditional, "SELECT conv_id, count_if(role = 'assistant')::BIGINT AS n_assistant, count_if(role <> 'assistant')::BIGINT AS n_other, arg_max(length(text), turn)::BIGINT AS last_length FROM conversations GROUP BY 1"),
     "key_value_pivot": (_pivot, "SELECT user_id, count_if(event_type = 'click')::BIGINT AS click, count_if(event_type = 'view')::BIGINT AS view, count_if(event_type = 'purchase')::BIGINT AS purchase FROM events GROUP BY 1"),
     "unpivot_long": (lambda spark, sf: views.unpivot(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"]), "SELECT l_orderkey, l_linenumber, 'l_discount' AS channel, l_discount AS watts FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem"),
-    "sort_multi": (lambda spark, sf: views.sorted_rows(table(spark, sf, "orders").select("o_orderkey", F.lower("o_orderpriority").alias("p")), F.col("p"), True, "o_orderkey").limit(200), "SELECT o_orderkey, lower(o_orderpriority) AS p FROM orders ORDER BY p DESC, o_orderkey LIMIT 200"),
+    "sort_all": (_sorted, "SELECT o_orderkey, lower(o_orderpriority) AS p, row_number() OVER (ORDER BY lower(o_orderpriority) DESC, o_orderkey) AS position FROM orders"),
     "page_slice": (lambda spark, sf: views.page(views.sorted_rows(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), True, "o_orderkey"), 40, 20), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40"),
     "column_choice": (lambda spark, sf: views.choose_columns(table(spark, sf, "nation"), ["NAME", "n_regionkey"], {"name": "n_name"}), "SELECT n_name, n_regionkey FROM nation"),
     "column_widths": (lambda spark, sf: views.column_widths(table(spark, sf, "part"), ["p_name", "p_brand"]), "SELECT max(length(p_name))::INTEGER AS p_name, max(length(p_brand))::INTEGER AS p_brand FROM part"),
@@ -156,9 +162,9 @@ PLANS = {
     "join_children": (lambda spark, sf: joins.children(table(spark, sf, "nation"), "n_nationkey", "n_regionkey").select("n_regionkey", F.array_join("children", ",").alias("children")), "SELECT n_regionkey, array_to_string(list_sort(list(n_nationkey)), ',') AS children FROM nation GROUP BY 1"),
     "join_fallback_coalesce": (_labels_or, "SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 'label' END, nullif(source, 'src0')) AS found FROM documents LEFT JOIN labels USING (doc_id)"),
     "join_ci_update": (_patched, "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer"),
-    "join_summed_dims": (_summed, "SELECT n_nationkey, n_name, ((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_nationkey < 20))::BIGINT AS n FROM nation"),
+    "join_summed_all": (_summed, "SELECT n_nationkey, n_name, ((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey))::BIGINT AS n FROM nation"),
     "union_all_tagged": (lambda spark, sf: joins.tagged_union({"s": table(spark, sf, "supplier").select(F.col("s_name").alias("name")), "c": table(spark, sf, "customer").select(F.col("c_name").alias("name"))}), "SELECT s_name AS name, 's' AS origin FROM supplier UNION ALL SELECT c_name, 'c' FROM customer"),
-    "union_distinct": (lambda spark, sf: table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).union(table(spark, sf, "customer").select("c_nationkey")).distinct(), "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer"),
+    "union_distinct": (lambda spark, sf: joins.distinct_union([table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), table(spark, sf, "customer").select("c_nationkey")]), "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer"),
     "dup_name_counter": (lambda spark, sf: filters.numbered(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "label"), "SELECT p_partkey, CASE WHEN n = 0 THEN p_name ELSE p_name || ' (' || n || ')' END AS label FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS n FROM part)"),
     "unit_scale": (_scaled, "WITH v AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice * l_quantity * l_quantity)::BIGINT AS v FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN v >= 1024**3 THEN v // (1024**3)::BIGINT WHEN v >= 1024**2 THEN v // (1024**2)::BIGINT WHEN v >= 1024 THEN v // 1024 ELSE v END AS whole, CASE WHEN v >= 1024**3 THEN 'GiB' WHEN v >= 1024**2 THEN 'MiB' WHEN v >= 1024 THEN 'KiB' ELSE 'B' END AS unit FROM v"),
     "fmt_duration": (_durations, _D),

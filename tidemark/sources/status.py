@@ -45,8 +45,12 @@ def rate_limits(sessions: DataFrame) -> DataFrame:
 
 
 def subagent_logs(logs: DataFrame) -> DataFrame:
-    """Distinct paths of agent-*.jsonl by session: (sessionId, path); their folder is <sessionId>/subagents or beside it."""
+    """Distinct paths of agent-*.jsonl by session: (sessionId, path). The folder <sessionId>/subagents goes before the one
+    beside it: where it has any, the others don't count."""
     part = F.split("path", "/")
     own = logs.filter(F.element_at(part, -1).rlike(r"^agent-.*\.jsonl$"))
-    session = F.when(F.element_at(part, -2) == "subagents", F.element_at(part, -3)).otherwise(F.element_at(part, -2))
-    return own.select(session.alias("sessionId"), "path").distinct().orderBy("sessionId", "path")
+    inside = F.element_at(part, -2) == "subagents"
+    session = F.when(inside, F.element_at(part, -3)).otherwise(F.element_at(part, -2))
+    found = own.select(session.alias("sessionId"), "path", F.when(inside, 0).otherwise(1).alias("_place")).distinct()
+    first = found.groupBy("sessionId").agg(F.min("_place").alias("_place"))
+    return found.join(first, ["sessionId", "_place"], "left_semi").select("sessionId", "path").orderBy("sessionId", "path")

@@ -14,8 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 
 class TailPartition(InputPartition):
-    def __init__(self, path: str, start: int, stop: int, restarted: bool) -> None:
-        self.path, self.start, self.stop, self.restarted = path, start, stop, restarted
+    def __init__(self, path: str, start: int, stop: int, restarted: bool, inode: int) -> None:
+        self.path, self.start, self.stop, self.restarted, self.inode = path, start, stop, restarted, inode
 
 
 def complete_until(path: str, start: int, step: int = 1 << 16) -> int:
@@ -58,17 +58,21 @@ class TailReader(DataSourceStreamReader):
             restarted = known != inode or stop < at
             begin = 0 if restarted else at
             if stop > begin:
-                out.append(TailPartition(path, begin, stop, restarted))
-        return out or [TailPartition("", 0, 0, False)]
+                out.append(TailPartition(path, begin, stop, restarted, inode))
+        return out or [TailPartition("", 0, 0, False, 0)]
 
     def read(self, partition: TailPartition):
         if partition.stop <= partition.start:
             return
         with open(partition.path, "rb") as f:
+            if os.fstat(f.fileno()).st_ino != partition.inode:  # replaced since: the next offsets start it anew
+                return
             f.seek(partition.start)
             at = partition.start
             while at < partition.stop:
                 line = f.readline()
+                if not line.endswith(b"\n"):  # cut since
+                    return
                 yield partition.path, at, partition.restarted, line.decode("utf-8", "replace").rstrip("\n")
                 at += len(line)
 

@@ -10,17 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-DAY = 86_400_000
-
+from ..operators.stored import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="tidemark-stream-")
+DAY = 86_400_000
 
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
