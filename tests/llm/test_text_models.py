@@ -151,3 +151,190 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.score(odd, toxicity.learn(odd, labels)).filter("score between 0 and 1").count() == odd.count()
     one_class = toxicity.learn(odd, labels.filter("toxic = 0"))
     assert toxicity.score(odd, one_class).agg(F.max("predicted")).first()[0] == 0 and toxicity.score(none, one_class).count() == 0
+
+
+@pytest.fixture(scope="module")
+def mapped_model():
+    """The model with a character map, runs of spaces stripped, and one without bytes to fall back on."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rules = pb.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    spec = pb.ModelProto()
+    with open(PIECES, "rb") as f:
+        spec.ParseFromString(f.read())
+    spec.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    spec.normalizer_spec.remove_extra_whitespaces = True
+    with_map = spec.SerializeToString()
+    spec.trainer_spec.byte_fallback = False
+    for p in spec.pieces:
+        if p.type == pb.ModelProto.SentencePiece.BYTE:
+            p.type = pb.ModelProto.SentencePiece.UNUSED
+    return with_map, spec.SerializeToString()
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_spans_through_a_character_map(mapped_model, which):
+    """Ids are the library's; the source bytes of a piece normalise to the piece, at the library's own borders."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=mapped_model[which])
+    own = sentencepiece_codec.Codec(model=mapped_model[which])
+    assert own.map.units and not own.by_words
+    for t in random_texts(400) + ["ＡＢＣ ½ ﬁne  x ", "áb", "一  二"]:
+        e, ids = own.encode(t), library.encode(t, add_bos=True, add_eos=True)
+        assert e.ids.tolist() == ids and e.end[-1] == len(t.encode()) and (e.start[1:] >= e.start[:-1]).all()
+        proto = library.encode(t, return_type="proto").pieces
+        for k, (p, a, b) in enumerate(zip(proto, e.start[1:-1].tolist(), e.end[1:-1].tolist())):
+            if p.piece.startswith("<0x"):  # the library gives all bytes of a character to its last
+                assert p.begin <= a <= b
+            else:  # what is stripped at the end belongs to the last piece here, and to none there
+                assert (a, b) == (p.begin, p.end) or (k == len(proto) - 1 and a == p.begin and b == len(t.encode()))
+
+
+def test_query_is_the_librarys_at_table_level(spark, sf_dir):
+    """Ids, decoded texts and spans of the query against the library, whole table."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = {}
+    for r in documents(spark, sf_dir).select("doc_id", "text").collect():
+        text = r.text or ""
+        ids, size, at = library.encode(text, add_bos=True, add_eos=True), len(text.encode()), 0
+        places = [(0, 0)]
+        for i in ids[1:-1]:  # pieces tile the text: a mark at its head stands for nothing, others for a space
+            piece = library.id_to_piece(i)
+            n = 1 if library.is_byte(i) else len(piece.replace("▁", " ").encode())
+            if at == 0 and len(places) == 1:
+                n -= 1
+            places.append((at, at + n))
+            at += n
+        assert at == size or "▁" in text
+        places.append((size, size))
+        spans = b"".join(np.array(x, "<i8").tobytes() for x in zip(*places))
+        want[r.doc_id] = (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids).encode()), sha(spans) if "▁" not in text else None)
+    for r in registry.QUERIES["op10_sentencepiece"](spark, sf_dir).collect():
+        n, ids, decoded, spans = want[r.doc_id]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (n, ids, decoded) and spans in (None, r.spans_sha256)
+
+
+def brute_kneser_ney(texts_by_language, order=4):
+    """P(character | the three before) by language, on strings and dicts."""
+    from collections import Counter, defaultdict
+
+    models, alphabet = {}, set()
+    for lang, texts in texts_by_language.items():
+        counts = Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))
+        levels = [counts]
+        for _ in range(order - 1):
+            levels.append(Counter(g[1:] for g in levels[-1]))
+        models[lang] = levels
+        alphabet |= set(levels[-1])
+
+    def prob(lang, gram, depth=0):
+        if depth == order:
+            return 1 / (len(alphabet) + 1)
+        counts = models[lang][depth]
+        n1, n2 = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        cut = min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
+        own = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        if not own:
+            return prob(lang, gram[1:], depth + 1)
+        total = sum(own.values())
+        seen = (own[gram] - cut) / total if gram in own else 0
+        return seen + cut * len(own) / total * prob(lang, gram[1:], depth + 1)
+
+    return prob
+
+
+def test_kneser_ney_is_that_of_strings():
+    from tidemark.llm.letters import grams, sequences
+
+    r, other = random.Random(4), "der die und in den von zu das mit sich ist ein 𐐨𐐩".split()
+    texts = {"de": [prose(r, 30, other) for _ in range(3)], "en": [prose(r, 30) for _ in range(3)]}
+    lines = lambda ts: ["   " + "".join(c if c.isalpha() else " " for c in t.lower()).strip().replace("  ", " ") + " " for t in ts]
+    units = lambda s: "".join(chr(x) for x in np.frombuffer(s.encode("utf-16-le"), np.uint16))
+    prob = brute_kneser_ney({k: [units(x) for x in lines(v)] for k, v in texts.items()})
+    m = language_id.kneser_ney([np.unique(grams(*sequences(v, 3), 4)[0], return_counts=True) for _, v in sorted(texts.items())], sorted(texts))
+    probe = units(lines(["der 𐐨𐐩 the zzq und"])[0])
+    windows = [probe[i : i + 4] for i in range(len(probe) - 3)]
+    packed = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(w)) for w in windows], np.uint64)
+    got = 2 ** m.logp(packed)
+    for j, lang in enumerate(sorted(texts)):
+        assert got[:, j] == pytest.approx([prob(lang, w) for w in windows], rel=1e-4)
+
+
+def test_an_unlearned_language_is_rejected(spark):
+    r = random.Random(12)
+    made = {k: w.split() for k, w in {"en": "the and of to in is that for was with they have from this what", "de": "der die und nicht sich auch werden eine schon über zwischen durch", "xx": "kwa zzo qiru vutlo xepq jagh ghujmey qaStaH vIghro tlhIngan"}.items()}
+    rows = [(i, prose(r, 80, made[k]), k) for i, k in enumerate(["en", "de"] * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.learn(docs)
+    got = {x.doc_id: x.rejected for x in language_id.identify(docs, models).collect()}
+    assert sum(got.values()) <= 3
+    strange = spark.createDataFrame([(i, prose(r, 80, made["xx"])) for i in range(50)], "doc_id long, text string")
+    assert language_id.identify(strange, models).filter("rejected").count() == 50
+
+
+def test_risk_and_gradient_are_those_of_sums():
+    rng = np.random.default_rng(3)
+    p, u, w = rng.normal(size=(20, 5)), rng.normal(size=(30, 5)), rng.normal(size=5)
+    loss = lambda x, y: np.log1p(np.exp(-y * float(x @ w)))
+    pos = 0.6 * sum(loss(x, 1) for x in p) / 20
+    neg = sum(loss(x, -1) for x in u) / 30 - 0.6 * sum(loss(x, -1) for x in p) / 20
+    a, b, ga, gb = quality_classifier.risk_and_gradient(w, p, u, 0.6)
+    assert (a, b) == (pytest.approx(pos), pytest.approx(neg))
+    for j in range(5):
+        step = np.eye(5)[j] * 1e-6
+        up, down = (quality_classifier.risk_and_gradient(w + s, p, u, 0.6) for s in (step, -step))
+        assert ga[j] == pytest.approx((up[0] - down[0]) / 2e-6, abs=1e-5) and gb[j] == pytest.approx((up[1] - down[1]) / 2e-6, abs=1e-5)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_comes_from_positives_and_unlabelled_alone(share):
+    rng = np.random.default_rng(int(share * 100))
+    good = lambda n: rng.normal(2, 1, (n, 4))
+    u = np.concatenate((good(int(4000 * share)), rng.normal(-2, 1, (4000 - int(4000 * share), 4))))
+    x = lambda a: np.concatenate((a, np.zeros((len(a), quality_classifier.FORMS + quality_classifier.HASHED - 4))), 1)
+    model = quality_classifier.fit(x(good(2000)), x(rng.permutation(u)))
+    assert model.prior == pytest.approx(share, abs=0.05)
+
+
+def test_samples_of_a_repeated_id_are_bounded(spark):
+    """One id on a third of all rows and more teaches once, in both classifiers."""
+    hot = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("junk *** "), F.col("id").cast("string")).alias("text"))
+    r = random.Random(3)
+    rest = spark.createDataFrame([(i, prose(r, 40)) for i in range(100, 400)], "doc_id long, text string")
+    docs = hot.unionByName(rest)
+    labels = spark.createDataFrame([(7, 0, 1)] + [(i, 1, 0) for i in range(100, 300)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality_classifier.fit
+    quality_classifier.fit = lambda p, u: seen.append((len(p), len(u))) or real(p, u)
+    try:
+        assert quality_classifier.learn(docs, labels) is not None
+    finally:
+        quality_classifier.fit = real
+    assert seen[0][0] == 200 and 300 <= seen[0][1] <= 301
+    assert len(toxicity.learn(docs, labels).key) > 0
+
+
+def test_toxicity_is_that_of_a_direct_sum(spark, rng):
+    """Log-count ratios by sets of substrings, and scores as sums over them."""
+    texts = [prose(rng, 25) + (" you idiot" if i % 3 == 0 else "") for i in range(90)]
+    docs = spark.createDataFrame([(i, t, int(i % 3 == 0)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs, docs.select("doc_id", "toxic"))
+    plain = [" " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " " for t in texts]
+    sets = [{t[i : i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)} for t in plain]
+    y = np.array([i % 3 == 0 for i in range(90)])
+    counts = {g: (sum(g in s for s, k in zip(sets, y) if k), sum(g in s for s, k in zip(sets, y) if not k)) for s in sets for g in s}
+    from tidemark.llm.letters import sequences
+
+    code = lambda g: toxicity._hashed(np.array([ord(c) for c in g], np.uint64), np.array([0, len(g)]), len(g))[0][0]
+    by_hash = {int(code(g)): g for g in counts}
+    assert all(int(k) in by_hash and sum(counts[by_hash[int(k)]]) >= toxicity.LEAST for k in model.key)
+    weight = {by_hash[int(k)]: w for k, w in zip(model.key, model.weight)}
+    want = [1 / (1 + np.exp(-(model.bias + sum(w for g, w in weight.items() if g in s)))) for s in sets]
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert [got[i] for i in range(90)] == pytest.approx(want) and sequences(["a b"], 1)[0].tolist() == [32, 97, 32, 98, 32]

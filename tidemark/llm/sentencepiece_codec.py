@@ -151,7 +151,7 @@ class Codec:
             body = b"".join(map(self._word, self.cut.findall(normalised.decode())))
             ids = np.frombuffer(body, "<u4")
             return ids, self.length[ids]
-        got = self.library.encode(text, out_type="immutable_proto").pieces
+        got = self.library.encode(text, return_type="proto").pieces
         ids = np.array([p.id for p in got], "<u4")
         length = self.length[ids] if len(ids) else np.zeros(0, np.int64)
         for k, p in enumerate(got):  # an unknown piece stands for the characters that it names
