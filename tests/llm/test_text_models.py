@@ -278,6 +278,16 @@ def test_an_unlearned_language_is_rejected(spark):
     assert language_id.identify(strange, models).filter("rejected").count() == 50
 
 
+def test_limits_lie_between_own_and_other_languages(spark):
+    """Each language left out in turn: its texts go, and those of the learned ones stay."""
+    docs = documents(spark, "/root/testdata/sf0.01").filter("lang is not null and length(text) > 200").select("doc_id", "text", "lang").cache()
+    for lang in [r.lang for r in docs.select("lang").distinct().collect()]:
+        models = language_id.learn(language_id.training_rows(docs).filter(F.col("lang") != lang))
+        got = language_id.identify(docs, models).join(docs, "doc_id").groupBy((F.col("lang") == lang).alias("strange")).agg(F.avg(F.col("rejected").cast("int")).alias("share"))
+        share = {r.strange: r.share for r in got.collect()}
+        assert share[True] > 0.8 and share[False] < 0.01
+
+
 def test_risk_and_gradient_are_those_of_sums():
     rng = np.random.default_rng(3)
     p, u, w = rng.normal(size=(20, 5)), rng.normal(size=(30, 5)), rng.normal(size=5)

@@ -22,8 +22,9 @@ SAMPLE_CHARS, ALL_CHARS = 600_000, 60_000_000
 ORDER = 4
 #: A text has letters, or characters that this Java doesn't know and Python may.
 LETTER = r"[\p{L}\p{Cn}]"
-#: Bits a character by which the entropy of a text may exceed what nearly all texts of its language have; more for a short one.
-SLACK, SHORT = 1.5, 6.0
+#: Bits a character by which the entropy of a text may exceed what nearly all texts of its language have: half the way to
+#: what texts of other languages cost, within these; and SHORT / sqrt(characters) more for a short text.
+LEAST_SLACK, SLACK, SHORT = 0.75, 1.5, 6.0
 
 
 @dataclass
@@ -135,7 +136,8 @@ def _count(batches):
 def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
     """From rows of docs (doc_id, text, lang) with a text and a lang: about sample_chars characters of each language.
 
-    Four fifths of the sample make the models, the rest sets each language's limit. Where that leaves less than half
+    Four fifths of the sample make the models, the rest sets each language's limit from both sides: what its own texts
+    cost, and what texts of other languages cost whose best model it would be if their own were missing. Where that leaves less than half
     of what a language has (a few texts, or very long ones), more of its texts are drawn and all of them make the
     model; its limit is then the cost of characters drawn uniformly from those of all languages. Counts of the sample
     reach the driver. A language without letters isn't learned; without rows there is no language. The model is dense
@@ -196,15 +198,24 @@ def _learn(docs: DataFrame, sample_chars: int) -> Models:
         for b in batches:
             langs = b.column(0).to_pylist()
             bits, size = m.entropy(b.column(1).to_pylist())
-            own = bits[np.arange(len(langs)), [m.languages.index(x) for x in langs]]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), pa.array(size)], ["lang", "bits", "size"])
+            at = np.arange(len(langs)), [m.languages.index(x) for x in langs]
+            own = bits[at]
+            bits[at] = np.inf  # as if the text's own language hadn't been learned
+            near = pa.array([m.languages[j] for j in bits.argmin(1)], pa.string())
+            columns = [b.column(0), pa.array(own), near, pa.array(bits.min(1)), pa.array(size)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "bits", "near", "away", "size"])
 
     unseen = sample.filter("part = 0").filter(F.col("lang").isin([x for x in languages if x not in thin])).select("lang", "text")
-    unseen = work_table(unseen.mapInArrow(slim(own_entropy), "lang string, bits double, size long")).filter("size > 0")
-    long = F.col("size") >= 200
-    short = F.col("bits") - SHORT / F.sqrt("size")  # what predict() adds for a short text
-    quantiles = unseen.groupBy("lang").agg(F.percentile_approx(F.when(long, F.col("bits")), 0.99).alias("q"), F.percentile_approx(short, 0.99).alias("s")).collect()
-    high = {r["lang"]: (r["q"] if r["q"] is not None else r["s"]) + SLACK for r in quantiles}
+    unseen = work_table(unseen.mapInArrow(slim(own_entropy), "lang string, bits double, near string, away double, size long")).filter("size > 0")
+
+    def quantile(by: str, bits: str, at: float) -> dict[str, float]:
+        """A quantile of long texts, or of all where none is long, less what predict() adds for a short one."""
+        long, short = F.when(F.col("size") >= 200, F.col(bits)), F.col(bits) - SHORT / F.sqrt("size")
+        found = unseen.groupBy(by).agg(F.percentile_approx(long, at).alias("q"), F.percentile_approx(short, at).alias("s")).collect()
+        return {r[by]: r["s"] if r["q"] is None else r["q"] for r in found}
+
+    own, strange = quantile("lang", "bits", 0.99), quantile("near", "away", 0.01)
+    high = {x: q + min(SLACK, max(LEAST_SLACK, (strange.get(x, np.inf) - q) / 2)) for x, q in own.items()}
     models.limit = np.array([high.get(x, -models.floor[j]) for j, x in enumerate(languages)])
     return models
 
