@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, token_counts, topk_search, toxicity
+from . import chat, infill, language_id, manifest, mixing, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, token_counts, topk_search, toxicity
 from .common import documents, fold_of
 
 
@@ -113,6 +113,94 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), spans=True)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = manifest.audit(documents(spark, sf_dir), fold_of(F.col("doc_id"), 7) == 0, {"n_chars": F.col("n_chars") + 1})
+    siblings = F.array_join(F.col("proof.hash"), "")
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars, CASE WHEN doc_id IS NULL THEN '-' ELSE len(doc_id::VARCHAR) || ':' || doc_id END
+           || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+           || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS front,
+         CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS back,
+         list_reduce([ord(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')],
+           lambda s, x: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(s, x)), 4294967295) AS state
+  FROM documents),
+e AS (
+  SELECT doc_id, lang, sha256(front || coalesce(len(n_chars::VARCHAR) || ':' || n_chars, '-') || back) AS leaf,
+         sha256(front || coalesce(len((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || back) AS changed,
+         coalesce(xor(state, 4294967295) % 7 = 0, false) AS tampered
+  FROM d),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM e),
+tree AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS hash FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (
+  SELECT lang, hash AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, pos, n, subroot AS hash FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 2, n),
+path AS (
+  SELECT l.lang, l.doc_id, l.leaf, l.pos, t.level, (l.pos >> t.level) % 2 = 1 AS is_left, s.hash
+  FROM leaves l JOIN tree t ON l.lang IS NOT DISTINCT FROM t.lang AND t.pos = l.pos >> t.level AND t.n > 1
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM t.lang AND s.level = t.level AND s.pos = xor(t.pos, 1)
+  UNION ALL
+  SELECT l.lang, l.doc_id, l.leaf, l.pos, 100 + t.level, (r.pos >> t.level) % 2 = 1, s.hash
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang JOIN upper t ON t.pos = r.pos >> t.level AND t.n > 1
+  LEFT JOIN upper s ON s.level = t.level AND s.pos = xor(t.pos, 1)),
+proofs AS (
+  SELECT lang, pos, coalesce(string_agg(hash, '' ORDER BY level), '') AS siblings, list({'is_left': is_left, 'hash': hash} ORDER BY level) AS steps
+  FROM path GROUP BY lang, pos),
+folded AS (
+  SELECT l.doc_id, l.leaf, r.subroot, (SELECT hash FROM upper WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+         list_reduce([{'is_left': false, 'hash': h} FOR h IN [CASE WHEN tampered AND changed IS NOT NULL THEN changed ELSE leaf END]] || coalesce(steps, []),
+           lambda a, p: {'is_left': false, 'hash': sha256(CASE WHEN p.hash IS NULL THEN a.hash WHEN p.is_left THEN p.hash || a.hash ELSE a.hash || p.hash END)}).hash AS folded_root
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang LEFT JOIN proofs p ON l.lang IS NOT DISTINCT FROM p.lang AND l.pos = p.pos)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.split_middle(documents(spark, sf_dir))
+    sha = lambda c: F.sha2(c, 256)
+    return out.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        sha(F.col("output")).alias("output_sha256"), sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+c AS (
+  SELECT *, len(u)::BIGINT AS n, [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS r FROM d),
+f AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+              WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM c),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN len(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -124,10 +212,15 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
     "op3_chat_rotation": OP3_SQL,
     "op6_topk_search": OP6_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
