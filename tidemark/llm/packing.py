@@ -27,8 +27,8 @@ BLOCK, ITEMS = 1 << 16, 1 << 14
 NEARLY = 256
 #: A round that takes away less than a 512th of the bins that came into it is the last.
 SPARES = 512
-#: What a worker remembers of chunks and of words (twice as many at most), and the longest of them in characters.
-MEMORY, LONGEST = 1 << 18, 63
+#: How many chunks a worker remembers (twice as many at most), and the longest of them in characters.
+MEMORY, LONGEST = 1 << 19, 63
 
 # Fixed values of the tokenizer format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -61,7 +61,8 @@ class Encoder:
     file at path, without begin, end or added special tokens.
 
     Where the tokenizer drops white space and nothing reaches over it, a text's ids are those of its chunks between
-    white space, which workers remember; a chunk of plain letters is put together from its words, remembered as well.
+    white space, which workers remember. A chunk of plain characters is put together from its words in lower case, which
+    are chunks themselves.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,12 +76,13 @@ class Encoder:
         spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
         self.kept = [c for c in spaces if self.whole(c)]  # white space for Python, but not for the library
         self.by_chunks = self._drops_spaces(spec)
-        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(added) or r"\b\B").search
         self.plain, self.split = re.compile(PLAIN).fullmatch, re.compile(PLAIN_WORDS).findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # letters that byte-level BPE writes bytes as
         others = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
-        self.words, self.chunks = Remembered(self._word), Remembered(self._chunk)
+        self.chunks = Remembered(self._chunk)
 
     @staticmethod
     def _drops_spaces(spec: dict) -> bool:
@@ -98,16 +100,21 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        got = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        got = [t.id for t in self.tokenizer.model.tokenize(word)]
         return struct.pack(f"<{len(got)}I", *got)
 
     def _chunk(self, chunk: str) -> bytes:
-        if not self.plain(chunk) or any(a in chunk for a in self.added):
+        if not self.plain(chunk):
             return self.whole(chunk)
         low = chunk.lower()
         if low.isalpha():
-            return self.words[low]
-        return b"".join([self.words[w] for w in self.split(low)])
+            return self._word(low) if low == chunk else self.chunks[low]
+        if self.added(chunk):
+            return self.whole(chunk)
+        words = self.split(low)
+        return self._word(low) if len(words) == 1 else b"".join([self.chunks[w] for w in words])
 
     def __call__(self, text: str) -> bytes:
         if not self.by_chunks or any(c in text for c in self.kept):
