@@ -10,7 +10,6 @@ from tidemark.functions import durations, parsers, texts
 from tidemark.operators import filters, joins, tokens, views
 from tidemark.sources import host, tail
 from tidemark.sources.logs import parse_records
-from tidemark.streaming.history import RollingHistory
 
 
 def one(spark, column):
@@ -98,45 +97,6 @@ def test_ordinals_are_those_of_one_sort(spark):
     assert sorted(got) == list(enumerate(want, 1))
 
 
-def _record(m, ms, output, request="r", model="x-opus-1"):
-    stamp = f"2026-08-24T20:{ms // 60_000:02d}:{ms // 1000 % 60:02d}.{ms % 1000:03d}Z"
-    usage = {"input_tokens": 1, "output_tokens": output, "cache_read_input_tokens": 2, "cache_creation_input_tokens": 3}
-    return json.dumps({"type": "assistant", "requestId": request, "timestamp": stamp, "message": {"id": m, "model": model, "usage": usage}})
-
-
-ZERO = 1_787_601_600_000  # 2026-08-24T20:00:00Z
-
-
-def _parsed(spark, lines, first=0):
-    return parse_records(spark.createDataFrame([(first + i, x) for i, x in enumerate(lines)], "ord long, value string"))
-
-
-def test_history_in_batches_is_that_of_one(spark, tmp_path):
-    """Late records, updates in later batches and batches that are done again."""
-    lines = [_record("a", 5_000, 1), _record("b", 61_000, 4), "{broken", _record("a", 65_000, 9), _record("c", 1_000, 7), _record("b", 2_000, 2), _record("d", 119_000, 3), _record("a", 100_000, 5)]
-    history = RollingHistory(spark, str(tmp_path / "h"), 60_000, 3_600_000)
-    for k, at in enumerate(range(0, len(lines), 3)):
-        for _ in range(2):
-            history.update(_parsed(spark, lines[at : at + 3], at), k, ZERO + 120_000)
-    want = tokens.history(_parsed(spark, lines), ZERO + 120_000)
-    order = lambda df: sorted(map(tuple, df.select("start_ms", "family", *tokens.FIELDS).collect()))
-    assert order(history.buckets()) == order(want) and len(order(want)) == 2
-
-
-def test_history_of_late_records_eviction_and_restart(spark, tmp_path):
-    history = RollingHistory(spark, str(tmp_path / "h"), 60_000, 120_000)
-    outputs = lambda: {r.start_ms - ZERO: r.output for r in history.buckets().collect()}
-    history.update(_parsed(spark, [_record("a", 61_000, 5)]), 0, ZERO + 150_000)
-    # too late on first sight; an update that is as late goes to the bucket of its request
-    history.update(_parsed(spark, [_record("old", 1_000, 50), _record("a", 1_000, 8)], 10), 1, ZERO + 150_000)
-    assert outputs() == {60_000: 8}
-    # a restart forgets requests and keeps buckets, so what comes again counts again
-    history.update(_parsed(spark, [_record("a", 121_000, 2)], 20), 2, ZERO + 150_000, restarted=True)
-    assert outputs() == {60_000: 8, 120_000: 2}
-    history.update(_parsed(spark, [_record("b", 200_000, 1)], 30), 3, ZERO + 210_000)
-    assert outputs() == {120_000: 2, 180_000: 1}  # the oldest bucket went
-
-
 def test_tail_ends_on_files_that_were_cut_or_replaced(tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_text("one\ntwo\nthree\n")

@@ -24,10 +24,10 @@ def billable() -> Column:
     )
 
 
-def requests(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Flat billable records: keys, request, family, ms, sidechain, the four counts, ord."""
+def requests(records: DataFrame, keys: list[str], keep: Column | None = None) -> DataFrame:
+    """Flat billable records, and those of which `keep` holds: keys, request, family, ms, sidechain, the four counts, ord."""
     n = lambda f: F.coalesce(F.col(f"message.usage.{f}"), F.lit(0)).cast("long")
-    return records.filter(billable()).select(
+    return records.filter(billable() if keep is None else F.coalesce(billable(), F.lit(False)) | keep).select(
         *keys,
         F.coalesce("requestId", F.lit("")).alias("request_id"),
         F.col("message.id").alias("message_id"),

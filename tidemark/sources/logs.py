@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = """type STRING, subtype STRING, durationMs BIGINT, requestId STRING, sessionId STRING, isSidechain BOOLEAN,
@@ -11,13 +11,15 @@ output_tokens BIGINT, cache_read_input_tokens BIGINT, cache_creation_input_token
 SESSION = "pid INT, sessionId STRING, cwd STRING, name STRING, status STRING, startedAt BIGINT, updatedAt BIGINT"
 
 
-def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
-    """lines with the record's fields; lines that aren't a record of these types, or with a negative count, are dropped."""
+def parse_records(lines: DataFrame, column: str = "value", keep: Column | None = None) -> DataFrame:
+    """lines with the record's fields; lines that aren't a record of these types, or with a negative count, are dropped, but for
+    those of which `keep` holds."""
     schema = RECORD + ", _corrupt STRING"
     parsed = lines.withColumn("_r", F.from_json(column, schema, {"columnNameOfCorruptRecord": "_corrupt"}))
     usage = [F.coalesce(F.col(f"_r.message.usage.{f}"), F.lit(0)) >= 0 for f in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")]
     good = F.col("_r").isNotNull() & F.col("_r._corrupt").isNull() & usage[0] & usage[1] & usage[2] & usage[3]
-    return parsed.filter(good & (F.trim(column) != "")).select(*[c for c in lines.columns if c != column], "_r.*").drop("_corrupt")
+    good = good & (F.trim(column) != "")
+    return parsed.filter(good if keep is None else F.coalesce(good, F.lit(False)) | keep).select(*[c for c in lines.columns if c != column], "_r.*").drop("_corrupt")
 
 
 def read_logs(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.stored import shared_dir
+from . import keyed
 
 DAY = 86_400_000
 
@@ -31,7 +30,10 @@ def run(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataF
     def write(df: DataFrame, batch: int) -> None:  # a batch that is done again replaces itself
         df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{at}/rows/b={batch}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    if mode == "append":
+        query = keyed.start(stream, f"{at}/checkpoint", write)
+    else:
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     schema = stream.schema.add("batch", "long")
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/rows")
@@ -46,35 +48,15 @@ def event_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("start_ms", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
-def _rates(key, frames, state: GroupState):
-    """The rate to the sample before, which is kept across batches; samples of a batch come in the order of time."""
-    rows = pd.concat(list(frames)).sort_values("ms")
-    before = state.get if state.exists else (None, None)
-    ms = rows.ms.shift().astype("float64")
-    value = rows.value.shift()
-    if before[0] is not None:
-        ms.iloc[0], value.iloc[0] = before
-    rise, seconds = (rows.value - value).clip(lower=0), (rows.ms - ms) / 1000
-    rate = (rise / seconds.where(seconds > 0)).where(seconds != 0, 0.0)
-    state.update((int(rows.ms.iloc[-1]), float(rows.value.iloc[-1])))
-    yield pd.DataFrame({"event_id": rows.event_id, "rate": rate.round(6)})
+#: A key that was silent for so long (by the clock, not by its samples) is forgotten.
+IDLE_MS = 6 * 3_600_000
 
 
 def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rise a second of value by user, 0 for a fall, null for a user's first sample. State is two numbers a user."""
     rows = source(spark, sf_dir).select("event_id", "user_id", F.unix_millis("ts").alias("ms"), "value")
-    made = rows.groupBy("user_id").applyInPandasWithState(_rates, "event_id long, rate double", "ms long, value double", "append", GroupStateTimeout.NoTimeout)
-    out = run(made).drop("batch")
-    return out.select("event_id", F.when(~F.isnan("rate"), F.round("rate", 6)).alias("rate"))
-
-
-def _high_water(key, frames, state: GroupState):
-    """The first record by ord names the bucket, for good; the highest output counts."""
-    rows = pd.concat(list(frames)).sort_values("ord")
-    start, top = state.get if state.exists else (int(rows.start_ms.iloc[0]), 0)
-    top = max(int(top), int(rows.output.max()))
-    state.update((int(start), top))
-    yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "start_ms": [start], "output": [top]})
+    out = run(keyed.rates(rows, "user_id", ["event_id"], "ms", "value", idle_ms=IDLE_MS))
+    return out.select("event_id", F.round("rate", 6).alias("rate"))
 
 
 def event_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +64,5 @@ def event_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source(spark, sf_dir)
     day = F.unix_millis("ts") - F.pmod(F.unix_millis("ts"), F.lit(DAY))
     rows = rows.select("user_id", "event_type", F.col("event_id").alias("ord"), day.alias("start_ms"), F.floor(F.abs("value")).cast("long").alias("output"))
-    schema = "user_id long, event_type string, start_ms long, output long"
-    made = rows.groupBy("user_id", "event_type").applyInPandasWithState(_high_water, schema, "start_ms long, output long", "update", GroupStateTimeout.NoTimeout)
-    out = run(made, "update")
+    out = run(keyed.high_water(rows, ["user_id", "event_type"], IDLE_MS))
     return out.groupBy("user_id", "event_type").agg(F.max_by("start_ms", "batch").alias("start_ms"), F.max_by("output", "batch").alias("output"))
