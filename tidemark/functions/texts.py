@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import widths
+
 
 def equal_ignoring_case(a: Column, b: Column) -> Column:
     """Only A to Z have two cases here."""
@@ -15,7 +17,8 @@ def equal_ignoring_case(a: Column, b: Column) -> Column:
 
 
 def ellipsis(text: Column, width: int) -> Column:
-    return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)
+    """The text cut to so many columns of a terminal, with an ellipsis at its end if something went."""
+    return widths.cut(text, width)
 
 
 def slug(path: Column) -> Column:

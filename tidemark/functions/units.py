@@ -19,7 +19,7 @@ def scale(value: Column, binary: bool = False, unit: str = "B") -> Column:
     return expr.otherwise(out)
 
 
-def _fixed(value: Column, digits: int) -> Column:
+def fixed(value: Column, digits: int) -> Column:
     """value rounded half to even with so many digits; whole numbers below 10**15."""
     n = F.bround(value, digits).cast(f"decimal(20,{digits})")
     return n.cast("string")
@@ -29,25 +29,27 @@ def format_bytes(value: Column, binary: bool = False, suffix: str = "") -> Colum
     """No digits below G, one from G on: '1023B', '1KiB', '2.5GiB'; suffix '/s' for rates."""
     base = 1024 if binary else 1000
     s = scale(value, binary)
-    text = F.when(value >= base**3, _fixed(s["value"], 1)).otherwise(_fixed(s["value"], 0))
+    text = F.when(value >= base**3, fixed(s["value"], 1)).otherwise(fixed(s["value"], 0))
     return F.concat(text, s["unit"], F.lit(suffix))
 
 
 def fixed_rate(value: Column) -> Column:
-    """A binary rate padded on the left to 11 characters."""
-    return F.lpad(format_bytes(value, binary=True, suffix="/s"), 11, " ")
+    """A binary rate with one digit, padded on the left to 11 characters: '  512.0B/s', '  1.5KiB/s'."""
+    s = scale(value, binary=True)
+    text = F.concat(fixed(s["value"], 1), s["unit"], F.lit("/s"))
+    return F.when(F.length(text) < 11, F.lpad(text, 11, " ")).otherwise(text)
 
 
 def abbreviate(count: Column, billions: bool = False) -> Column:
     """'999', '12.3k', '51.7M' and, if asked for, 'B'."""
-    tenth = lambda d: _fixed(count / float(d), 1)
+    tenth = lambda d: fixed(count / float(d), 1)
     out = F.when(count >= 10**9, F.concat(tenth(10**9), F.lit("B"))).when(count >= 10**6, F.concat(tenth(10**6), F.lit("M"))) if billions else F.when(count >= 10**6, F.concat(tenth(10**6), F.lit("M")))
     return out.when(count >= 1000, F.concat(tenth(1000), F.lit("k"))).otherwise(count.cast("long").cast("string"))
 
 
 def token_rate(rate: Column) -> Column:
     """Tokens a second, padded on the left to 9 characters."""
-    text = F.when(rate >= 1e6, F.concat(_fixed(rate / 1e6, 1), F.lit("M/s"))).when(rate >= 1e3, F.concat(_fixed(rate / 1e3, 1), F.lit("k/s"))).otherwise(F.concat(_fixed(rate, 0), F.lit("/s")))
+    text = F.when(rate >= 1e6, F.concat(fixed(rate / 1e6, 1), F.lit("M/s"))).when(rate >= 1e3, F.concat(fixed(rate / 1e3, 1), F.lit("k/s"))).otherwise(F.concat(fixed(rate, 0), F.lit("/s")))
     return F.lpad(text, 9, " ")
 
 

@@ -9,12 +9,27 @@ from .filters import recent
 from .rates import milliseconds
 
 
-def with_gaps(samples: DataFrame, ticks: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """A row for each tick and each key from the key's first sample on; null where it has none.
-
-    Keys meet the ticks by a join on their time range: ticks and first times, not samples, are paired."""
-    born = samples.groupBy(key).agg(F.min(ts).alias("_born"))
-    grid = ticks.select(ts).distinct().join(born, F.col(ts) >= F.col("_born"))
+#: Parts of the time from the first tick to the last, in which keys and ticks meet.
+PARTS = 256
+
+
+def with_gaps(samples: DataFrame, ticks: DataFrame, key: str, ts: str, value: str, parts: int = PARTS) -> DataFrame:
+    """A row for each tick and each key from the key's first sample on; null where it has none. Ticks are distinct; a sample at a time
+    that is no tick isn't there.
+
+    Keys meet ticks by parts of the time: a key goes to every part from that of its first sample on, and ticks to their
+    own, so it's a join on equal parts. Only where a key was born within a part, some of that part's ticks go again."""
+    numeric = dict(ticks.dtypes)[ts] not in ("timestamp", "timestamp_ntz")
+    at = (lambda c: F.col(c).cast("long")) if numeric else (lambda c: F.unix_micros(F.col(c).cast("timestamp")))
+    first, last = ticks.agg(F.min(at(ts)), F.max(at(ts))).first()  # of one row
+    first, last = first or 0, last or 0
+    width = (last - first) // parts + 1
+    part = lambda c: F.floor((c - first) / width)
+    born = samples.groupBy(key).agg(F.min(ts).alias("_born")).withColumn("_at", at("_born"))
+    # a key that is born after the last tick meets none
+    spans = born.filter(F.col("_at") <= last).select(key, "_at", F.explode(F.sequence(F.greatest(part(F.col("_at")), F.lit(0).cast("long")), part(F.lit(last)))).alias("_part"))
+    own = ticks.select(ts).distinct().withColumn("_part", part(at(ts)))
+    grid = own.join(spans, "_part").filter(at(ts) >= F.col("_at"))
     return grid.join(samples.select(key, ts, value), [key, ts], "left").select(key, ts, value)
 
 

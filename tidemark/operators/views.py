@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.widths import width
 from .stored import stored
 
 
@@ -121,7 +122,8 @@ def choose_columns(df: DataFrame, wanted: list[str], aliases: dict[str, str]) ->
 
 
 def column_widths(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.agg(*[F.max(F.length(F.col(c).cast("string"))).alias(c) for c in columns])
+    """Columns of a terminal that the widest text of each takes."""
+    return df.agg(*[F.max(width(F.col(c).cast("string"))).alias(c) for c in columns])
 
 
 def with_total_row(df: DataFrame, label: str, name: str, value: str) -> DataFrame:

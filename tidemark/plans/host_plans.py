@@ -215,7 +215,8 @@ def _formatted(spark, sf):
 _FORMATTED = """WITH l AS (SELECT *, floor(l_extendedprice * l_quantity)::BIGINT AS v FROM lineitem) SELECT l_orderkey, l_linenumber,
 CASE WHEN v >= 1000000000 THEN round_even(v / 1e9, 1)::DECIMAL(20,1) || 'GB' WHEN v >= 1000000 THEN round_even(v / 1e6, 0)::BIGINT || 'MB' WHEN v >= 1000 THEN round_even(v / 1e3, 0)::BIGINT || 'KB' ELSE v || 'B' END AS size,
 CASE WHEN v >= 1000000 THEN round_even(v / 1e6, 1)::DECIMAL(20,1) || 'M' WHEN v >= 1000 THEN round_even(v / 1e3, 1)::DECIMAL(20,1) || 'k' ELSE v::VARCHAR END AS count,
-lpad(CASE WHEN l_partkey >= 1048576 THEN round_even(l_partkey / 1048576.0::DOUBLE, 0)::BIGINT || 'MiB' WHEN l_partkey >= 1024 THEN round_even(l_partkey / 1024.0::DOUBLE, 0)::BIGINT || 'KiB' ELSE l_partkey || 'B' END || '/s', 11, ' ') AS rate FROM l"""
+lpad(CASE WHEN l_partkey >= 1048576 THEN round_even(l_partkey / 1048576.0::DOUBLE, 1)::DECIMAL(20,1) || 'MiB' WHEN l_partkey >= 1024 THEN round_even(l_partkey / 1024.0::DOUBLE, 1)::DECIMAL(20,1) || 'KiB'
+ELSE l_partkey || '.0B' END || '/s', 11, ' ') AS rate FROM l"""
 
 
 def _scalars(spark, sf):

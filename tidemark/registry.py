@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import host_plans, log_plans, search_plans, series_plans, view_plans
+from .plans import axis_plans, host_plans, log_plans, search_plans, series_plans, view_plans
 
-PLANS = search_plans.PLANS | series_plans.PLANS | view_plans.PLANS | log_plans.PLANS | host_plans.PLANS
+PLANS = search_plans.PLANS | series_plans.PLANS | view_plans.PLANS | log_plans.PLANS | host_plans.PLANS | axis_plans.PLANS
 flagship = view_plans.flagship
 
 

@@ -11,18 +11,28 @@ from ..operators import filters, joins, rates
 from ..operators.rates import First, Rounding, milliseconds
 
 
+def _by_host(df: DataFrame) -> DataFrame:
+    """Samples of one host have no column of that name; its rows are those of localhost."""
+    return df if "host" in df.columns else df.withColumn("host", F.lit("localhost"))
+
+
+def _host(df: DataFrame) -> list[str]:
+    return ["host"] if "host" in df.columns else []
+
+
 def cpu_rows(stat: DataFrame, average: bool = True) -> DataFrame:
-    """(ts, core, idle, non_idle) of tables (ts, text) of /proc/stat: a row a core, and core -1 for the line of all."""
-    lines = stat.select("ts", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(r"^cpu\d*\s"))
+    """(ts, core, idle, non_idle) of tables (ts, text) of /proc/stat: a row a core, and core -1 for the line of all. With a column
+    host, rows are of that host; so it is with the other functions on samples."""
+    lines = stat.select(*_host(stat), "ts", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(r"^cpu\d*\s"))
     number = F.regexp_extract("line", r"^cpu(\d*)\s", 1)
     core = F.when(number == "", -1).otherwise(number.try_cast("int")).alias("core")
-    made = lines.select("ts", core, parsers.cpu_times(F.col("line")).alias("t")).select("ts", "core", "t.*")
+    made = lines.select(*_host(stat), "ts", core, parsers.cpu_times(F.col("line")).alias("t")).select(*_host(stat), "ts", "core", "t.*")
     return made if average else made.filter(F.col("core") >= 0)
 
 
 def cpu_usage(rows: DataFrame) -> DataFrame:
     """Percent of time that wasn't idle since the tick before, a gap at a core's first."""
-    w = Window.partitionBy("core").orderBy("ts")
+    w = Window.partitionBy(*_host(rows), "core").orderBy("ts")
     busy, idle = (F.col(c) - F.lag(c).over(w) for c in ("non_idle", "idle"))
     return rows.withColumn("usage", F.try_divide(busy, busy + idle) * 100)
 
@@ -32,10 +42,11 @@ def memory_rows(meminfo: DataFrame, cgroups: DataFrame | None = None, show_cache
 
     cgroups (ts, ram_used, ram_limit, swap_used, swap_limit) go before the host's own figures where they are known; a
     limit is the host's total at most. Kinds without any total aren't there."""
-    m = meminfo.select("ts", parsers.memory_fields(F.col("text")).alias("m")).select("ts", "m.*")
+    at = [*_host(meminfo), "ts"]
+    m = meminfo.select(*at, parsers.memory_fields(F.col("text")).alias("m")).select(*at, "m.*")
     known = {"ram_used": "g_ram_used", "ram_limit": "g_ram_limit", "swap_used": "g_swap_used", "swap_limit": "g_swap_limit"}
     if cgroups is not None:
-        m = m.join(cgroups.select("ts", *[F.col(k).alias(v) for k, v in known.items()]), "ts", "left")
+        m = m.join(cgroups.select(*at, *[F.col(k).alias(v) for k, v in known.items()]), at, "left")
     else:
         m = m.withColumns({v: F.lit(None).cast("long") for v in known.values()})
     row = lambda kind, used, total: F.struct(F.lit(kind).alias("kind"), used.alias("used"), total.alias("total"))
@@ -43,7 +54,7 @@ def memory_rows(meminfo: DataFrame, cgroups: DataFrame | None = None, show_cache
     kinds = [row("RAM", F.coalesce("g_ram_used", "used"), within("g_ram_limit", "total")), row("SWP", F.coalesce("g_swap_used", "swap_used"), within("g_swap_limit", "swap_total"))]
     if show_cache:
         kinds.append(row("CACHE", F.col("cache"), F.col("total")))
-    long = m.select("ts", F.explode(F.array(*kinds)).alias("k")).select("ts", "k.*")
+    long = m.select(*at, F.explode(F.array(*kinds)).alias("k")).select(*at, "k.*")
     return long.filter(F.col("total") > 0).withColumn("percent", units.percent(F.col("used"), F.col("total")))
 
 
@@ -62,6 +73,7 @@ def cgroup_memory(files: DataFrame) -> DataFrame:
     swap_limit = F.when(c("v1_memsw_limit").isNotNull(), F.greatest(both - own, F.lit(0)))
     swap_used = F.when(c("v1_memsw_usage").isNotNull(), F.greatest(c("v1_memsw_usage") - c("v1_usage"), F.lit(0)))
     return files.select(
+        *_host(files),
         "ts",
         F.when(v1, less("v1_usage", "v1_inactive")).otherwise(less("v2_current", "v2_inactive")).alias("ram_used"),
         F.when(v1, c("v1_limit")).otherwise(c("v2_max").try_cast("long")).alias("ram_limit"),
@@ -77,13 +89,12 @@ def cgroup_cpu(files: DataFrame) -> DataFrame:
     v1 = c("v1_quota").isNotNull()
     q1 = F.when((c("v1_quota") > 0) & (c("v1_period") > 0), F.try_divide(c("v1_quota").cast("double"), c("v1_period").cast("double")))
     used = F.when(v1, F.floor(c("v1_usage_ns") / 1000)).otherwise(c("v2_usage_us"))
-    rows = files.select("ts", F.when(v1, q1).otherwise(units.cpu_quota(c("v2_max"))).alias("quota"), used.cast("long").alias("used"))
-    # a host has one such series: its ticks are few
-    w = Window.partitionBy(F.lit(0)).orderBy("ts")
+    rows = _by_host(files).select("host", "ts", F.when(v1, q1).otherwise(units.cpu_quota(c("v2_max"))).alias("quota"), used.cast("long").alias("used"))
+    w = Window.partitionBy("host").orderBy("ts")
     micros = (milliseconds(c("ts")) - milliseconds(F.lag("ts").over(w))) * 1000
     delta = F.greatest(c("used") - F.lag("used").over(w), F.lit(0))
     share = F.try_divide(delta.cast("double"), micros * c("quota")) * 100
-    return rows.select("ts", "quota", F.when((micros > 0) & (c("quota") > 0), F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0))).alias("percent"))
+    return rows.select(*_host(files), "ts", "quota", F.when((micros > 0) & (c("quota") > 0), F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0))).alias("percent"))
 
 
 def network_totals(interfaces: DataFrame, names: dict | None = None) -> DataFrame:
@@ -91,16 +102,17 @@ def network_totals(interfaces: DataFrame, names: dict | None = None) -> DataFram
     keeps (arguments of filters.keep). A tick without any has zeros."""
     kept = filters.keep(F.col("name"), **names) if names else F.lit(True)
     total = lambda c, by: F.coalesce(F.sum(F.when(kept, F.col(c) * by)), F.lit(0)).cast("long")
-    return interfaces.groupBy("ts").agg(
+    return interfaces.groupBy(*_host(interfaces), "ts").agg(
         total("rx_bytes", 8).alias("rx_bits"), total("tx_bytes", 8).alias("tx_bits"), total("rx_packets", 1).alias("rx_packets"), total("tx_packets", 1).alias("tx_packets")
     )
 
 
-def network_rates(totals: DataFrame, host: str = "host") -> DataFrame:
+def network_rates(totals: DataFrame) -> DataFrame:
     """The totals with rx, tx and packets a second, whole numbers cut off; a host's first tick is counted from zero over
     the second before it."""
+    totals = _by_host(totals)
     for counter, out in (("rx_bits", "rx"), ("tx_bits", "tx"), ("rx_packets", "rx_packet_rate"), ("tx_packets", "tx_packet_rate")):
-        totals = rates.counter_to_rate(totals, [host], "ts", counter, first=First.TOTAL, rounding=Rounding.TRUNCATE, out=out)
+        totals = rates.counter_to_rate(totals, ["host"], "ts", counter, first=First.TOTAL, rounding=Rounding.TRUNCATE, out=out)
         totals = totals.withColumn(out, F.col(out).cast("long"))
     return totals
 
