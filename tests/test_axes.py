@@ -52,7 +52,7 @@ def test_labels_and_rates_that_are_longer_stay_whole(spark):
 
 def test_legend_has_the_rows_of_its_height(spark):
     names = spark.createDataFrame([(c,) for c in "dbac"], "name string")
-    assert [[r.name for r in axes.legend(names, ["name"], h).collect()] for h in (4, 2, 1, 9)] == [["a", "b"], [], [], ["a", "b", "c", "d"]]
+    assert [[r.name for r in views.legend(names, "name", h).collect()] for h in (2, 0, -1, 7)] == [["a", "b"], [], [], ["a", "b", "c", "d"]]
 
 
 # fixed values: (text, columns that it takes)

@@ -52,19 +52,23 @@ def shown(closed: DataFrame, kept: DataFrame, key: str) -> DataFrame:
 
 
 def rollup(closed: DataFrame, values: DataFrame, key: str, sums: list[str], maxima: list[str] = ()) -> DataFrame:
-    """For every node the sums and maxima over itself and all below: each row goes to the nodes of its path."""
-    pairs = closed.select(F.col("node").alias(key), F.explode("path").alias("ancestor"))
-    return pairs.join(values, key).groupBy("ancestor").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxima])
+    """For every node the sums and maxima over itself and all below. Rows meet their values before they go to the nodes of their
+    paths, and what goes there is summed within each task first."""
+    wanted = [*sums, *maxima]
+    own = closed.join(values.select(F.col(key).alias("node"), *wanted), "node")
+    each = own.select(F.explode("path").alias("ancestor"), *wanted)
+    return each.groupBy("ancestor").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxima])
 
 
 def depth_first(closed: DataFrame, values: DataFrame, key: str, by: str, descending: bool = False) -> DataFrame:
-    """Nodes with `position` from 1: siblings by a column, then id; a node before what is below it."""
+    """Nodes with `position` from 1: siblings by a column, then id; a node before what is below it.
+
+    All nodes are numbered once in the order of the column, by ranges; siblings, and roots among each other, keep that order.
+    A node's place is that of the numbers along its path."""
     v = closed.join(values.select(F.col(key).alias("node"), by), "node")
     order = F.col(by).desc() if descending else F.col(by).asc()
-    # roots are siblings of each other, whatever absent parents they name
-    family = F.when(F.col("depth") == 0, F.lit(None)).otherwise(F.col("parent"))
-    rank = v.select("node", F.row_number().over(Window.partitionBy(family).orderBy(order, "node")).alias("rank"))
-    ranks = closed.select("node", F.posexplode("path").alias("at", "a")).join(rank.withColumnRenamed("node", "a"), "a")
+    rank = ordinals(v.select("node", by), [order, F.col("node")], "rank").select(F.col("node").alias("a"), "rank")
+    ranks = closed.select("node", F.posexplode("path").alias("at", "a")).join(rank, "a")
     path = ranks.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "rank"))), lambda x: x["rank"]).alias("ranks"))
     placed = v.join(path, "node")
     return ordinals(placed, [F.col("ranks")])

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where a local session names none."""
+    """spark.checkpoint.dir of the session; where a local session names none, a temporary folder, set once."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="tidemark-")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def stored(df: DataFrame) -> DataFrame:

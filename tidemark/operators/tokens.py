@@ -92,12 +92,14 @@ def history(records: DataFrame, now_ms: int, width_ms: int = 60_000, window_ms:
     """(start_ms, family, the four counts) of the buckets of a rolling window.
 
     A request belongs to the bucket and family of its first record that has a time within the window; that record
-    and later ones raise its output to the highest seen. Earlier records of it don't count."""
+    and later ones raise its output to the highest seen. Earlier records of it don't count. Records are parsed once: what
+    a request needs of them is stored, for it is read twice."""
     from .series import clamp_bucket
+    from .stored import stored
 
     width_ms, window_ms = clamp_bucket(width_ms, window_ms)
     cutoff = (now_ms - window_ms) // width_ms * width_ms + width_ms
-    flat = requests(records, [])
+    flat = stored(requests(records, []))
     dated = flat.filter(F.col("ms") >= cutoff)
     born = dated.groupBy("request_id", "message_id").agg(F.min("ord").alias("_born"))
     later = flat.join(born, ["request_id", "message_id"]).filter(F.col("ord") >= F.col("_born")).drop("_born")

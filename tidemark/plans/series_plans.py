@@ -52,9 +52,10 @@ def _usage(spark, sf):
 
 
 def _gaps(spark, sf):
-    days = _events(spark, sf).groupBy("event_type", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(F.count("*").alias("n")).filter("n % 3 <> 0")
-    ticks = _events(spark, sf).select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).distinct()
-    return series.with_gaps(days, ticks, "event_type", "day", "n").select("event_type", F.unix_millis("day").alias("ms"), "n")
+    """Events an hour of each user; an hour without any of theirs is a gap."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")
+    hours = _events(spark, sf).groupBy("user_id", hour).agg(F.count("*").alias("n"))
+    return series.with_gaps(hours, hours.select("hour"), "user_id", "hour", "n").select("user_id", F.unix_millis("hour").alias("ms"), "n")
 
 
 def _locf(spark, sf):
@@ -69,7 +70,7 @@ def _retention(spark, sf):
 
 
 def _fill(spark, sf):
-    rows = series.bucket_totals(_events(spark, sf).filter("event_type = 'purchase'"), milliseconds(F.col("ts")), 3_600_000, [], F.lit(1).cast("long"))
+    rows = series.bucket_totals(_events(spark, sf), milliseconds(F.col("ts")), 3_600_000, [], F.lit(1).cast("long"))
     return series.fill_between(rows, 3_600_000)
 
 
@@ -95,7 +96,8 @@ PLANS = {
     "baseline_total": (_baseline, f"WITH {_C}, b AS (SELECT user_id, arg_min(counter, ts) AS base FROM c GROUP BY user_id) SELECT event_id, greatest(counter - base, 0)::BIGINT AS total FROM c JOIN b USING (user_id)"),
     "usage_percent": (_usage, f"WITH {_C}, u AS (SELECT *, event_id * 100 - lag(event_id * 100) OVER (PARTITION BY user_id ORDER BY ts) AS ds FROM l) SELECT event_id, round(greatest(counter - prev, 0) / (CASE WHEN ds = 0 THEN 1.0 ELSE ds END)::DOUBLE * 100 / 4, 6) AS usage FROM u"),
     "high_water_delta": (_high_water, "SELECT conv_id, turn, length(text)::BIGINT AS n, greatest(length(text) - coalesce(max(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT AS delta FROM conversations"),
-    "series_gaps": (_gaps, f"WITH d AS (SELECT event_type, {_ms} - {_ms} % {DAY} AS ms, count(*) AS n FROM events GROUP BY ALL HAVING count(*) % 3 <> 0), t AS (SELECT DISTINCT {_ms} - {_ms} % {DAY} AS ms FROM events), b AS (SELECT event_type, min(ms) AS born FROM d GROUP BY 1) SELECT b.event_type, t.ms, d.n FROM t JOIN b ON t.ms >= born LEFT JOIN d ON d.event_type = b.event_type AND d.ms = t.ms"),
+    "series_gaps": (_gaps, f"WITH d AS (SELECT user_id, {_ms} - {_ms} % 3600000 AS ms, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT DISTINCT ms FROM d), b AS (SELECT user_id, min(ms) AS born FROM d GROUP BY 1) "
+        "SELECT b.user_id, t.ms, d.n FROM t JOIN b ON t.ms >= born LEFT JOIN d ON d.user_id = b.user_id AND d.ms = t.ms"),
     "locf_steps": (_locf, f"SELECT user_id, {_ms} AS start, coalesce(lead({_ms}) OVER (PARTITION BY user_id ORDER BY ts), 2000000000000)::BIGINT AS stop, value FROM events"),
     "window_max": (lambda spark, sf: series.visible_peak(_events(spark, sf), "ts", "value", 6 * 3_600_000), "SELECT greatest(coalesce(max(value), 0), 0) AS peak FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 HOURS"),
     "window_rows_by_key": (lambda spark, sf: filters.recent(_events(spark, sf), "ts", DAY, ["user_id"]).select("event_id"), "SELECT event_id FROM events JOIN (SELECT user_id, max(ts) AS newest FROM events GROUP BY 1) USING (user_id) WHERE ts >= newest - INTERVAL 1 DAY"),
@@ -106,7 +108,7 @@ PLANS = {
     "distinct_steps": (lambda spark, sf: series.distinct_steps(_events(spark, sf), "user_id", "ts", "event_type").select("event_id"), "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE b IS NULL OR b <> event_type"),
     "reverse_offset": (lambda spark, sf: series.reverse_offset(_events(spark, sf), "ts").select("event_id", "offset_ms"), f"SELECT event_id, {_ms} - (SELECT max({_ms}) FROM events) AS offset_ms FROM events"),
     "bucket_totals": (_buckets, _B),
-    "bucket_gapfill_all": (_fill, f"WITH b AS (SELECT {_ms} - {_ms} % 3600000 AS start_ms, count(*)::BIGINT AS total FROM events WHERE event_type = 'purchase' GROUP BY 1), g AS (SELECT unnest(range(min(start_ms), max(start_ms) + 1, 3600000)) AS start_ms FROM b) SELECT start_ms, coalesce(total, 0) AS total FROM g LEFT JOIN b USING (start_ms)"),
+    "bucket_gapfill_all": (_fill, f"WITH b AS (SELECT {_ms} - {_ms} % 3600000 AS start_ms, count(*)::BIGINT AS total FROM events GROUP BY 1), g AS (SELECT unnest(range(min(start_ms), max(start_ms) + 1, 3600000)) AS start_ms FROM b) SELECT start_ms, coalesce(total, 0) AS total FROM g LEFT JOIN b USING (start_ms)"),
     "bucket_peak": (lambda spark, sf: series.stacked_peak(_buckets(spark, sf), "start_ms", "total"), f"SELECT coalesce(max(s), 0)::BIGINT AS peak FROM (SELECT sum(total) AS s FROM ({_B}) GROUP BY start_ms)"),
     "clamp_to_top": (lambda spark, sf: series.clamped(_events(spark, sf).select("event_id", "value"), "value", F.lit(400.0)), "SELECT event_id, least(value, 400.0::DOUBLE) AS value FROM events"),
     "bucket_stacked": (_stacked, f"WITH b AS ({_B}), o AS (SELECT *, list_position({sorted(TYPES)}, event_type)::INTEGER AS ordinal FROM b) SELECT *, (sum(total) OVER (PARTITION BY start_ms ORDER BY ordinal ROWS UNBOUNDED PRECEDING))::BIGINT AS stacked FROM o"),
