@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import axes, widths
+from ..operators import orders, session_views
 from ..operators.rates import milliseconds
 from ..sources import host, nested
 from ..sources.tables import table
@@ -159,7 +160,98 @@ _NETWORK_RATES = f"""WITH e AS (SELECT user_id AS host, {_ms} AS ms, sum(floor(a
 l AS (SELECT *, lag(n) OVER w AS before, (ms - lag(ms) OVER w) / 1000.0::DOUBLE AS sec FROM e WINDOW w AS (PARTITION BY host ORDER BY ms))
 SELECT host, ms, (n * 8)::BIGINT AS rx_bits, {", ".join(f"floor(CASE WHEN before IS NULL THEN (n * {k})::DOUBLE WHEN sec = 0 THEN 0 ELSE ((n - before) * {k})::DOUBLE / sec END)::BIGINT AS {c}" for c, k in (("rx", 8), ("tx", 16), ("rx_packet_rate", 1), ("tx_packet_rate", 3)))} FROM l"""
 
+def _process_table(spark, sf):
+    c = table(spark, sf, "customer")
+    name = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    return c.select(
+        F.col("c_custkey").alias("pid"), name.alias("name"), F.when(F.col("c_nationkey") > 4, F.concat(F.lit("u"), F.col("c_nationkey").cast("string"))).alias("user"),
+        F.col("c_acctbal").alias("cpu_percent"), F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("long")).alias("mem_bytes"), F.col("c_acctbal").alias("mem_percent"), F.col("c_nationkey").alias("nice"),
+    )
+
+
+#: (column, direction, or None for the one it has at first)
+_SORTED = [("cpu_percent", None), ("mem_percent", None), ("mem_percent", False), ("name", None), ("name", True), ("user", None), ("user", True), ("nice", None), ("pid", True)]
+
+
+def _sort_rules(spark, sf):
+    rows = _process_table(spark, sf)
+    out = None
+    for column, descending in _SORTED:
+        made = orders.PROCESSES.numbered(rows, column, descending).select(F.lit(f"{column} {descending}").alias("sorted"), "position", "pid")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _sort_sql(column, descending):
+    key = {"cpu_percent": "c_acctbal", "mem_percent": "CASE WHEN c_acctbal > 0 THEN floor(c_acctbal)::BIGINT END", "name": "lower(c_mktsegment)",
+           "user": "CASE WHEN c_nationkey > 4 THEN 'u' || c_nationkey END", "nice": "c_nationkey", "pid": "c_custkey"}[column]
+    down = column in ("cpu_percent", "mem_percent") if descending is None else descending
+    return f"SELECT '{column} {descending}' AS sorted, row_number() OVER (ORDER BY {key} {'DESC NULLS LAST' if down else 'ASC NULLS FIRST'}, c_custkey) AS position, c_custkey AS pid FROM customer"
+
+
+def _sessions(spark, sf):
+    """A session for each customer that may be the owner of a conversation; every other one has a status."""
+    from . import log_plans
+
+    payload = "struct<model:struct<id:string>,cost:struct<total_cost_usd:double>,context_window:struct<used_percentage:double>>"
+    info = F.struct(F.struct(F.concat(F.lit("x-opus-"), F.col("c_custkey").cast("string"))), F.struct(F.col("c_custkey") / 4.0), F.struct(F.col("c_custkey") % 100 + 0.0))
+    sessions = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("sessionId"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"), F.concat(F.lit("/home/"), "c_mktsegment", F.lit("/")).alias("cwd"),
+        F.lit(None).cast("string").alias("status"), F.concat(F.lit("main:0.%"), F.col("c_nationkey").cast("string")).alias("tmux"), F.when(F.col("c_custkey") % 2 == 0, info.cast(payload)).alias("info"),
+    )
+    records = log_plans.parse_records(log_plans._lines(spark, sf)).withColumn("session", F.col("session").cast("string"))
+    return session_views.session_cells(session_views.session_rows(sessions, records))
+
+
+def _sessions_sql():
+    from . import log_plans
+
+    total = "coalesce(o.total, 0)"
+    return f"""WITH {log_plans._R}, q AS (SELECT session, m, arg_min(side, ord) AS side, max(output) AS output FROM r GROUP BY session, m),
+o AS (SELECT session, (115 * count(*) + sum(output))::BIGINT AS total, count_if(side) AS agents FROM q GROUP BY 1)
+SELECT c_custkey::VARCHAR AS session, CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE c_custkey::VARCHAR END AS name, c_mktsegment AS directory,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Opus' ELSE 'N/A' END AS model, '' AS status, {_abbreviated_sql(total, '', False)} AS tokens,
+       CASE WHEN c_custkey % 2 = 0 THEN '$' || round_even(c_custkey / 4.0::DOUBLE, 2)::DECIMAL(20,2) ELSE 'N/A' END AS cost,
+       CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 100) || '%' ELSE 'N/A' END AS context, coalesce(o.agents, 0)::VARCHAR AS agents
+FROM customer LEFT JOIN o ON o.session = c_custkey"""
+
+
+def _batteries(spark, sf):
+    """A battery for each part: some tell energy, some charge and voltage, some nothing but their capacity."""
+    k, n = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    states = F.element_at(F.array(*map(F.lit, ("Charging", "Discharging", "Full", "odd"))), (k % 4 + 1).cast("int"))
+    energy = F.concat(F.lit("ENERGY_NOW="), n("p_size"), F.lit("000000\nPOWER_SUPPLY_ENERGY_FULL=60000000\nPOWER_SUPPLY_ENERGY_FULL_DESIGN=80000000\nPOWER_SUPPLY_POWER_NOW=12000000"))
+    charge = F.concat(F.lit("CHARGE_NOW="), n("p_size"), F.lit("0000\nPOWER_SUPPLY_CHARGE_FULL=1000000\nPOWER_SUPPLY_VOLTAGE_NOW=12000000\nPOWER_SUPPLY_CURRENT_NOW=-500000"))
+    rest = F.when(k % 3 == 0, energy).when(k % 3 == 1, charge).otherwise(F.concat(F.lit("CAPACITY="), n("p_size")))
+    kind = F.when(F.col("p_size") == 7, "Mains").otherwise("Battery")
+    text = F.concat(F.lit("POWER_SUPPLY_TYPE="), kind, F.lit("\nPOWER_SUPPLY_STATUS="), states, F.lit("\nPOWER_SUPPLY_"), rest, F.lit("\nbroken\n"))
+    made = host.battery_rows(table(spark, sf, "part").select("p_partkey", text.alias("text")))
+    return made.select("p_partkey", F.round("charge_percent", 6).alias("charge_percent"), "watts", F.round("health_percent", 6).alias("health_percent"), "state", "seconds")
+
+
+_BATTERIES = """WITH b AS (SELECT p_partkey, p_partkey % 3 AS kind, p_partkey % 4 AS s, p_size,
+  CASE p_partkey % 3 WHEN 0 THEN p_size * 1e6::DOUBLE WHEN 1 THEN p_size * 10000 * 12.0::DOUBLE END AS n, CASE p_partkey % 3 WHEN 0 THEN 6e7::DOUBLE WHEN 1 THEN 12e6::DOUBLE END AS f,
+  CASE p_partkey % 3 WHEN 0 THEN 12e6::DOUBLE WHEN 1 THEN 6e6::DOUBLE END AS r FROM part WHERE p_size <> 7)
+SELECT p_partkey, round(coalesce(n / f * 100, p_size::DOUBLE), 6) AS charge_percent, r / 1e6 AS watts, CASE WHEN kind = 0 THEN 75.0::DOUBLE END AS health_percent,
+['Charging', 'Discharging', 'Full', 'Unknown'][s + 1] AS state, floor(CASE s WHEN 0 THEN greatest(f - n, 0) WHEN 1 THEN n END / r * 3600)::INTEGER AS seconds FROM b"""
+
+
+def _all_disks(spark, sf):
+    """Suppliers' disks are mounted, and parts are the block devices."""
+    s = table(spark, sf, "supplier")
+    mounted = s.select(F.concat(F.lit("/dev/mapper/d"), F.col("s_suppkey").cast("string")).alias("name"), F.concat(F.lit("/"), "s_name").alias("mount_point"), F.col("s_suppkey").alias("used"), F.col("s_nationkey").cast("long").alias("free"), F.lit(1000).cast("long").alias("total"))
+    devices = table(spark, sf, "part").select(F.concat(F.when(F.col("p_size") > 40, "loop").otherwise("d"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").cast("long").alias("bytes"))
+    return host.all_disks(mounted, devices)
+
+
+_ALL_DISKS = """SELECT '/dev/mapper/d' || s_suppkey AS name, '/' || s_name AS mount_point, s_suppkey::BIGINT AS used, s_nationkey::BIGINT AS free, 1000::BIGINT AS total FROM supplier
+UNION ALL SELECT '/dev/d' || p_partkey, '', NULL, NULL, p_size FROM part WHERE p_size <= 40 AND p_partkey NOT IN (SELECT s_suppkey FROM supplier)"""
+
 PLANS = {
+    "sort_rules": (_sort_rules, " UNION ALL ".join(_sort_sql(*x) for x in _SORTED)),
+    "session_cells": (_sessions, _sessions_sql()),
+    "battery_rows": (_batteries, _BATTERIES),
+    "all_disks": (_all_disks, _ALL_DISKS),
     "axis_bytes": (_bytes, _BYTES),
     "axis_others": (_others, _OTHERS),
     "display_widths": (_widths, _WIDTHS),

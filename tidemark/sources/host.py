@@ -200,3 +200,40 @@ def processes(stats: DataFrame, threads: DataFrame | None = None) -> DataFrame:
 
     rows = read(stats, False)
     return (rows.unionByName(read(threads, True)) if threads is not None else rows).orderBy("ts", "pid")
+
+
+def all_disks(mounted: DataFrame, partitions: DataFrame) -> DataFrame:
+    """(name, mount_point, used, free, total): mounted disks with their usage, and behind them the block devices of partitions (name,
+    bytes) that none of them is; a mounted disk's device is the last part of its name."""
+    rows = mounted.select("name", "mount_point", "used", "free", "total")
+    known = mounted.select(texts.last_part(F.col("name")).alias("name"))
+    return rows.unionByName(unmounted(partitions, known))
+
+
+# States of batteries as the kernel names them, and as they are shown; others are unknown.
+BATTERY_STATES = {"Charging": "Charging", "Discharging": "Discharging", "Full": "Full", "Not charging": "Full", "Empty": "Empty"}
+
+
+def battery_rows(uevents: DataFrame) -> DataFrame:
+    """The other columns of uevents (text) of power supplies, and (charge_percent, watts, health_percent, state, seconds) of each that is
+    a battery: how full it is, what it takes or gives, what is left of the capacity it was made for, and the time until it is
+    full or empty, null where no rate tells it. Energy is in µWh and µW; where only charge is known, voltage makes energy of it."""
+    entries = F.transform(F.split("text", "\n"), lambda line: F.split(line, "=", 2))
+    kept = [c for c in uevents.columns if c != "text"]
+    # a key that comes twice would be an error in a map: the first one counts
+    once = F.array_distinct(F.transform(entries, lambda e: F.get(e, F.lit(0))))
+    first = F.map_from_arrays(once, F.transform(once, lambda k: F.get(F.get(F.filter(entries, lambda e: F.get(e, F.lit(0)) == k), F.lit(0)), F.lit(1))))
+    rows = uevents.select(*kept, first.alias("_m"))
+    field = lambda name: F.try_element_at("_m", F.lit(f"POWER_SUPPLY_{name}"))
+    number = lambda name: field(name).try_cast("double")
+    volts = number("VOLTAGE_NOW") / 1e6
+    amount = lambda part: F.coalesce(number(f"ENERGY_{part}"), number(f"CHARGE_{part}") * volts)
+    rate = F.abs(F.coalesce(number("POWER_NOW"), number("CURRENT_NOW") * volts))
+    state = F.coalesce(F.create_map(*[F.lit(x) for kv in BATTERY_STATES.items() for x in kv])[field("STATUS")], F.lit("Unknown"))
+    made = rows.filter(field("TYPE").isNull() | (field("TYPE") == "Battery")).select(
+        *kept, amount("NOW").alias("_now"), amount("FULL").alias("_full"), amount("FULL_DESIGN").alias("_design"), rate.alias("_rate"), number("CAPACITY").alias("_capacity"), state.alias("state")
+    )
+    left = F.when(F.col("state") == "Charging", F.greatest(F.col("_full") - F.col("_now"), F.lit(0.0))).when(F.col("state") == "Discharging", F.col("_now"))
+    seconds = F.when(F.col("_rate") > 0, F.floor(left / F.col("_rate") * 3600)).cast("int")
+    charge = F.coalesce(units.percent(F.col("_now"), F.col("_full")), F.col("_capacity"))
+    return made.select(*kept, charge.alias("charge_percent"), (F.col("_rate") / 1e6).alias("watts"), units.percent(F.col("_full"), F.col("_design")).alias("health_percent"), "state", seconds.alias("seconds"))
