@@ -128,3 +128,22 @@ def test_tail_source(spark, tmp_path):
         h.write("ial\nthree\n")
     assert run() == ["one", "partial", "three", "two"]
     assert run() == ["one", "partial", "three", "two"]
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string"])
+@pytest.mark.parametrize("descending", [False, True])
+def test_depth_first_of_any_column(spark, kind, descending):
+    """Siblings by value, nulls smallest, ties by id; a node before what is below it."""
+    rows = [("a", None, 5), ("b", None, None), ("c", "gone", 5), ("d", "a", 1), ("e", "a", 7), ("f", "a", None), ("g", "e", 0), ("h", "b", -(2**63)), ("i", "b", 3), ("j", "a", 7)]
+    df = spark.createDataFrame(rows, "id string, parent string, v long").withColumn("v", F.col("v").cast(kind))
+    got = hierarchy.depth_first(hierarchy.closure(df, "id", "parent"), df, "id", "v", descending)
+    text = {i: v if kind != "string" or v is None else str(v) for i, _, v in rows}
+    known = {i for i, _, _ in rows}
+
+    def below(parent):
+        own = sorted(i for i, p, _ in rows if (p if p in known else None) == parent)
+        some = sorted((i for i in own if text[i] is not None), key=lambda i: text[i], reverse=descending)
+        none = [i for i in own if text[i] is None]
+        return [x for i in (some + none if descending else none + some) for x in (i, *below(i))]
+
+    assert [r.node for r in got.orderBy("position").collect()] == below(None)

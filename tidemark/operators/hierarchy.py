@@ -63,15 +63,21 @@ def rollup(closed: DataFrame, values: DataFrame, key: str, sums: list[str], maxi
 def depth_first(closed: DataFrame, values: DataFrame, key: str, by: str, descending: bool = False) -> DataFrame:
     """Nodes with `position` from 1: siblings by a column, then id; a node before what is below it.
 
-    All nodes are numbered once in the order of the column, by ranges; siblings, and roots among each other, keep that order.
-    A node's place is that of the numbers along its path."""
+    A node's place is that of the sort keys along its path, so siblings, and roots among each other, need no numbers: no task
+    holds all of them. Only a descending order of texts has no such key; there all nodes are numbered once, by ranges."""
     v = closed.join(values.select(F.col(key).alias("node"), by), "node")
-    order = F.col(by).desc() if descending else F.col(by).asc()
-    rank = ordinals(v.select("node", by), [order, F.col("node")], "rank").select(F.col("node").alias("a"), "rank")
-    ranks = closed.select("node", F.posexplode("path").alias("at", "a")).join(rank, "a")
-    path = ranks.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "rank"))), lambda x: x["rank"]).alias("ranks"))
-    placed = v.join(path, "node")
-    return ordinals(placed, [F.col("ranks")])
+    kind, c = dict(v.dtypes)[by], F.col(by)
+    if not descending:
+        keys = v.select(F.col("node").alias("a"), F.struct(c.isNotNull(), c, "node").alias("key"))
+    elif kind in ("tinyint", "smallint", "int", "bigint"):
+        keys = v.select(F.col("node").alias("a"), F.struct(c.isNull(), F.bitwise_not(c), "node").alias("key"))  # falls as c rises, whatever c
+    elif kind in ("float", "double") or kind.startswith("decimal"):
+        keys = v.select(F.col("node").alias("a"), F.struct(c.isNull(), -c, "node").alias("key"))
+    else:
+        keys = ordinals(v.select("node", by), [c.desc(), F.col("node")], "key").select(F.col("node").alias("a"), "key")
+    along = closed.select("node", F.posexplode("path").alias("at", "a")).join(keys, "a")
+    path = along.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("keys"))
+    return ordinals(v.join(path, "node"), [F.col("keys")])
 
 
 def prefix(df: DataFrame) -> DataFrame:
