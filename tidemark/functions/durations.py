@@ -7,13 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names of units, in milliseconds.
-_UNITS = {
-    "nsec ns nanos": 1e-6, "usec us µs micros": 1e-3, "msec ms millis": 1,
-    "seconds second secs sec s": 1000, "minutes minute mins min m": 60_000, "hours hour hrs hr h": 3_600_000,
-    "days day d": 86_400_000, "weeks week wks wk w": 604_800_000, "months month M": 2_630_016_000, "years year yrs yr y": 31_557_600_000,
+# Names of units, in milliseconds.
+UNIT_MS = {
+    "nsec": 1e-6, "ns": 1e-6, "nanos": 1e-6,
+    "usec": 1e-3, "us": 1e-3, "µs": 1e-3, "micros": 1e-3,
+    "msec": 1, "ms": 1, "millis": 1,
+    "seconds": 1000, "second": 1000, "secs": 1000, "sec": 1000, "s": 1000,
+    "minutes": 60_000, "minute": 60_000, "mins": 60_000, "min": 60_000, "m": 60_000,
+    "hours": 3_600_000, "hour": 3_600_000, "hrs": 3_600_000, "hr": 3_600_000, "h": 3_600_000,
+    "days": 86_400_000, "day": 86_400_000, "d": 86_400_000,
+    "weeks": 604_800_000, "week": 604_800_000, "wks": 604_800_000, "wk": 604_800_000, "w": 604_800_000,
+    "months": 2_630_016_000, "month": 2_630_016_000, "M": 2_630_016_000,
+    "years": 31_557_600_000, "year": 31_557_600_000, "yrs": 31_557_600_000, "yr": 31_557_600_000, "y": 31_557_600_000,
 }
-UNIT_MS = {name: ms for names, ms in _UNITS.items() for name in names.split()}
 _PART = re.compile(r"(\d+)\s*([a-zA-Zµ]+)\s*")
 
 

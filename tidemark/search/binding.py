@@ -42,14 +42,33 @@ class Binding:
         return Binding(Attribute(column, Kind.TEXT), self.keywords)
 
 
-def _attributes(kind: Kind, names: dict[str, str]) -> dict[str, Attribute]:
-    return {word: Attribute(column, kind) for words, column in names.items() for word in words.split()}
-
-
-#: The relation of processes. Keywords and the columns they stand for.
+# The relation of processes. Keywords and the columns they stand for.
 PROCESS = Binding(
     Attribute("name", Kind.TEXT),
-    _attributes(Kind.NUMBER, {"cpu cpu%": "cpu_usage_percent", "mem mem%": "mem_usage_percent", "nice": "nice", "priority": "priority", "gmem%": "gpu_mem_percent", "gpu%": "gpu_util"})
-    | _attributes(Kind.SIZE, {"memb": "mem_usage", "read r/s rps": "read_per_sec", "write w/s wps": "write_per_sec", "tread t.read": "total_read", "twrite t.write": "total_write", "gmem": "gpu_mem"})
-    | {"time": Attribute("time_ms", Kind.DURATION), "pid": Attribute("pid", Kind.TEXT), "state": Attribute("process_state", Kind.TEXT), "user": Attribute("user", Kind.TEXT, absent="N/A")},
+    {
+        "cpu": Attribute("cpu_usage_percent", Kind.NUMBER),
+        "cpu%": Attribute("cpu_usage_percent", Kind.NUMBER),
+        "mem": Attribute("mem_usage_percent", Kind.NUMBER),
+        "mem%": Attribute("mem_usage_percent", Kind.NUMBER),
+        "memb": Attribute("mem_usage", Kind.SIZE),
+        "read": Attribute("read_per_sec", Kind.SIZE),
+        "r/s": Attribute("read_per_sec", Kind.SIZE),
+        "rps": Attribute("read_per_sec", Kind.SIZE),
+        "write": Attribute("write_per_sec", Kind.SIZE),
+        "w/s": Attribute("write_per_sec", Kind.SIZE),
+        "wps": Attribute("write_per_sec", Kind.SIZE),
+        "tread": Attribute("total_read", Kind.SIZE),
+        "t.read": Attribute("total_read", Kind.SIZE),
+        "twrite": Attribute("total_write", Kind.SIZE),
+        "t.write": Attribute("total_write", Kind.SIZE),
+        "pid": Attribute("pid", Kind.TEXT),
+        "state": Attribute("process_state", Kind.TEXT),
+        "user": Attribute("user", Kind.TEXT, absent="N/A"),
+        "time": Attribute("time_ms", Kind.DURATION),
+        "nice": Attribute("nice", Kind.NUMBER),
+        "priority": Attribute("priority", Kind.NUMBER),
+        "gmem": Attribute("gpu_mem", Kind.SIZE),
+        "gmem%": Attribute("gpu_mem_percent", Kind.NUMBER),
+        "gpu%": Attribute("gpu_util", Kind.NUMBER),
+    },
 )
