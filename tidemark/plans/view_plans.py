@@ -28,8 +28,10 @@ FROM events WHERE value > 100 AND (event_type ILIKE '%error%' OR event_type ILIK
 
 
 def _by_part(spark, sf):
+    """Order and line repeat in lineitem; of rows that share them the first in the files counts, as in the SQL on one thread."""
     rows = table(spark, sf, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
-    return views.group_rows(rows, "l_partkey", "row", ["cents"], ["l_quantity"], ["l_returnflag"])
+    in_files = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    return views.group_rows(rows, "l_partkey", "row", ["cents"], ["l_quantity"], ["l_returnflag"], in_files)
 
 
 def _tree_rows(spark, sf):
